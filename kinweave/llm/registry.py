@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import secrets, simhash
 
 
 def queries() -> dict:
-    return {"op1_simhash_near_dedup": simhash.op1_simhash_near_dedup}
+    return {"op1_simhash_near_dedup": simhash.op1_simhash_near_dedup, "op3_secret_scans": secrets.op3_secret_scans}
 
 
 def oracle_sql() -> dict[str, str]:
