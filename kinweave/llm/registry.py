@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import secrets, simhash
+from . import compression, secrets, simhash, toxicity
+
+QUERIES = (
+    simhash.op1_simhash_near_dedup,
+    secrets.op3_secret_scans,
+    toxicity.op4_toxicity_segments,
+    compression.op9_quality_compression,
+)
 
 
 def queries() -> dict:
-    return {"op1_simhash_near_dedup": simhash.op1_simhash_near_dedup, "op3_secret_scans": secrets.op3_secret_scans}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
