@@ -108,3 +108,13 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 50) -
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def stash(name: str, make: Callable):
+    """What make() returned when this name was first asked for in this process; it outlives the tasks of a Python worker."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_kinweave_stash", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
