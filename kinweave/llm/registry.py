@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import compression, packing, secrets, simhash, toxicity
+from . import compression, mixing, packing, secrets, simhash, toxicity
 
 QUERIES = (
     simhash.op1_simhash_near_dedup,
     secrets.op3_secret_scans,
     toxicity.op4_toxicity_segments,
     packing.op7_vector_packing,
+    mixing.op8_mix_sources,
     compression.op9_quality_compression,
 )
 
