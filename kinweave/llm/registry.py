@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import compression, mixing, packing, secrets, simhash, toxicity
+from . import compression, mixing, packing, rules, secrets, simhash, toxicity, urls
 
 QUERIES = (
     simhash.op1_simhash_near_dedup,
     secrets.op3_secret_scans,
     toxicity.op4_toxicity_segments,
+    rules.op5_quality_rules,
     packing.op7_vector_packing,
     mixing.op8_mix_sources,
     compression.op9_quality_compression,
+    urls.op10_url_filters,
 )
+ORACLES = {"op5_quality_rules": rules.ORACLE_SQL, "op10_url_filters": urls.ORACLE_SQL}
 
 
 def queries() -> dict:
@@ -19,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
