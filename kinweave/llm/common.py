@@ -44,18 +44,22 @@ def crc_fold(id_col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def bounded_sample(labelled: DataFrame, label: str, rows: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """(text, label) of at most `rows` labelled rows of at most max_bytes each, those with the smallest hashes of their ids; ordered by hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, rows: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
+    """(text, label) of the labelled rows with the smallest hashes of their ids among those that `use` admits: `rows` at most, of max_bytes at most each.
 
-    The only place where training text comes to the driver; rows * max_bytes bounds it, and in practice a small part of that.
+    First ids and labels alone are sought out; then their texts, by a broadcast of these ids. So no more than rows * max_bytes
+    come to the driver, whatever the tables hold. Of repeated label rows the greatest label counts, of repeated documents the
+    least text. The list is in the order of the hashes.
     """
-    picked = (
-        labelled.where(F.col(label).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_bytes))
-        .select(F.xxhash64(id_col, F.lit("fit")).alias("h"), F.col(text_col).alias("t"), F.col(label).alias("y"), F.col(id_col).alias("i"))
-        .orderBy("h", "i", "t")
-        .limit(rows)
-    )
-    return [(r["t"], r["y"]) for r in picked.collect()]
+    marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & use).select(F.xxhash64(id_col, F.lit("fit")).alias("h"), F.col(id_col).alias("i"), F.col(label).alias("y"))
+    picked = {r["i"]: (r["h"], r["y"]) for r in marks.orderBy("h", "i", "y").limit(rows).collect()}
+    if not picked:
+        return []
+    kind = labels.select(F.col(id_col).alias("i")).schema
+    ids = docs.sparkSession.createDataFrame([(i,) for i in picked], kind)
+    texts = docs.where(F.octet_length(text_col) <= max_bytes).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i")
+    found = texts.groupBy("i").agg(F.min("t").alias("t")).collect()
+    return [(r["t"], picked[r["i"]][1]) for r in sorted(found, key=lambda r: picked[r["i"]][0])]
 
 
 def map_texts(df: DataFrame, id_cols: list[str], text_col: str, schema: str, scorer: Callable[[list[str]], dict[str, list]], slice_bytes: int = 8 << 20) -> DataFrame:

@@ -16,13 +16,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_fold, logistic, map_texts, sigmoid
+from .common import crc_fold, labelled_sample, logistic, map_texts, sigmoid
 
 
 @dataclass(frozen=True)
 class Settings:
     rows: int = 6000
-    max_bytes: int = 1 << 16
+    max_bytes: int = 1 << 15
     size: int = 1 << 16
     block: int = 2048
     level: int = 3
@@ -91,9 +91,7 @@ def fit(sample: list[tuple[str, int]], settings: Settings = Settings()) -> Model
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, held: int = 0, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on labelled documents whose fold isn't the held-out one. Of repeated label rows the greatest label counts."""
-    marks = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("_y"))
-    texts = docs.select(F.col(id_col), F.col(text_col)).where(crc_fold(F.col(id_col), mod) != held)
-    return fit(bounded_sample(texts.join(marks, id_col), "_y", settings.rows, settings.max_bytes, id_col, text_col), settings)
+    return fit(labelled_sample(docs, labels, label, crc_fold(F.col(id_col), mod) != held, settings.rows, settings.max_bytes, id_col, text_col), settings)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_fold, logistic, map_texts, sigmoid
+from .common import crc_fold, labelled_sample, logistic, map_texts, sigmoid
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of the prefixes that count as units beside the whole token.
@@ -41,7 +41,7 @@ def units(token: str) -> list[str]:
 @dataclass(frozen=True)
 class Settings:
     rows: int = 6000
-    max_bytes: int = 1 << 16
+    max_bytes: int = 1 << 15
     terms: int = 20_000
     prior: float = 0.2  # the prior's weight, as a share of the sample's tokens
     least_z: float = 3.4
@@ -181,9 +181,7 @@ def karlin_lambda(shares: dict[float, float], gap: float) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3, held: int = 1, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on labelled documents whose fold isn't the held-out one. Of repeated label rows the greatest label counts."""
-    marks = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("_y"))
-    texts = docs.select(F.col(id_col), F.col(text_col)).where(crc_fold(F.col(id_col), mod) != held)
-    return fit(bounded_sample(texts.join(marks, id_col), "_y", settings.rows, settings.max_bytes, id_col, text_col), settings)
+    return fit(labelled_sample(docs, labels, label, crc_fold(F.col(id_col), mod) != held, settings.rows, settings.max_bytes, id_col, text_col), settings)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
