@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import compression, mixing, packing, rules, secrets, simhash, toxicity, urls
+from . import compression, language, mixing, packing, rules, secrets, simhash, toxicity, urls
 
 QUERIES = (
     simhash.op1_simhash_near_dedup,
     secrets.op3_secret_scans,
     toxicity.op4_toxicity_segments,
     rules.op5_quality_rules,
+    language.op6_language_crf,
     packing.op7_vector_packing,
     mixing.op8_mix_sources,
     compression.op9_quality_compression,
