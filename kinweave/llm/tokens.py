@@ -12,12 +12,31 @@ import unicodedata
 
 import numpy as np
 
-#: Words whose ids a worker remembers.
-REMEMBER = 400_000
+#: Words, and parts of words, whose ids a worker remembers; as many older ones are kept until these are met again or pushed out.
+WORDS, PARTS = 300_000, 500_000
 #: Letters, then ASCII punctuation without the apostrophe: two tokens of the splitter's, whatever their case.
 _PLAIN = re.compile(r"([^\W\d_]*)([!-&(-/:-@\[-`{-~]*)")
 
 
+class Memory:
+    """A bounded table in two generations: when the young one is full it becomes the old one, and what is met again moves back."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that neither generation has; the others are young afterwards."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        out = []
+        for k in keys.difference(self.young):
+            if k in self.old:
+                self.young[k] = self.old[k]
+            else:
+                out.append(k)
+        return out
+
+
 class WordTokenizer:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers, equal to those of the whole text at once."""
 
@@ -30,34 +49,33 @@ class WordTokenizer:
         closes = [i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
         self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.closes[closes] = True
-        self.known: dict[bytes, bytes] = {}
+        self.words, self.parts = Memory(WORDS), Memory(PARTS)
 
     def encode(self, text: str) -> bytes:
-        words, known = text.encode().split(), self.known  # bytes.split() cuts at ASCII white space alone
+        words = text.encode().split()  # bytes.split() cuts at ASCII white space alone
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(self.words.young.__getitem__, words))
         except KeyError:
-            if len(known) > REMEMBER:
-                known.clear()
-            self._learn({w for w in words if w not in known})
-            return b"".join(map(known.__getitem__, words))
-
-    def _learn(self, words: set[bytes]) -> None:
-        parts: dict[bytes, tuple[str, str]] = {}
-        rest = []
+            self._learn(self.words.missing(set(words)))
+            return b"".join(map(self.words.young.__getitem__, words))
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, rest = [], []
         for w in words:
             s = w.decode()
             m = _PLAIN.fullmatch(s)
             if m and (s.isascii() or max(s) < "ɐ" and "İ" not in s and unicodedata.is_normalized("NFC", s)):
-                parts[w] = m[1].lower(), m[2]
+                plain.append((w, m[1].lower(), m[2]))
             else:
                 rest.append(s)
-        single = {p for two in parts.values() for p in two if p}
-        ids = self._at_once(sorted(single))
-        for w, two in parts.items():
-            self.known[w] = b"".join(ids[p] for p in two if p)
+        new = self._at_once(self.parts.missing({p for _, a, b in plain for p in (a, b) if p}))
+        self.parts.young.update(new)
+        ids, known = self.parts.young, self.words.young
+        ids[""] = b""
+        for w, a, b in plain:
+            known[w] = ids[a] + ids[b]
         for s, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[s.encode()] = np.array(e.ids, "<u4").tobytes()
+            known[s.encode()] = np.array(e.ids, "<u4").tobytes()
 
     def _at_once(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces that are one token of the splitter's each, from one call: each ends at its end mark."""
