@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, let
 
 
 def common_length(a: str, b: str) -> int:
@@ -159,43 +159,69 @@ def tri_state(a: Column | str, b: Column | str) -> Column:
     return F.when((x == "") | (y == ""), 0).when(x == y, 1).otherwise(-1)
 
 
+def _coded(a: Column) -> Column:
+    """Tokens with their weights as strings: sets of strings meet by hash, those of structs don't."""
+    return F.transform(a, lambda t: F.concat_ws("\x00", t["w"], t["idf"].cast("string")))
+
+
+def _weights(a: Column) -> Column:
+    return F.transform(a, lambda t: F.substring_index(t, "\x00", -1).cast("double"))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(_weights(a), F.lit(0.0), lambda s, x: s + x)
+
+
+def _split(a: Column, b: Column, body) -> Column:
+    """body(a, b, common, only a, only b) of two coded sets, each computed once."""
+    parts = lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_intersect(s["a"], s["b"]).alias("i"), F.array_except(s["a"], s["b"]).alias("x"), F.array_except(s["b"], s["a"]).alias("y"))
+    return let(let(F.struct(_coded(a).alias("a"), _coded(b).alias("b")), parts), lambda s: body(s["a"], s["b"], s["i"], s["x"], s["y"]))
+
+
 def set_features(a: Column, b: Column) -> Column:
-    """struct(contain, wjac, unexpl_a, unexpl_b) of two arrays of distinct struct(w, idf).
+    """struct(contain, wjac, unexpl_a, unexpl_b) of two arrays of distinct struct(w, idf) with weights from one table; linear.
 
     contain: common words over the smaller set; wjac: weight of common words over all; unexpl: weights of one side's further
     words. Where a side is empty: -1, -1, 0, 0.
     """
-    words = lambda x: F.transform(x, lambda t: t["w"])
-    weight = lambda x, other, inside: F.aggregate(F.filter(x, lambda t: F.array_contains(other, t["w"]) == inside), F.lit(0.0), lambda s, t: s + t["idf"])
-    n = F.size(F.filter(a, lambda t: F.array_contains(words(b), t["w"])))
-    wi, wa, wb = weight(a, words(b), True), weight(a, words(b), False), weight(b, words(a), False)
-    empty = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.struct(
-        F.when(empty, -1.0).otherwise(n / F.least(F.size(a), F.size(b))).alias("contain"),
-        F.when(empty, -1.0).otherwise(wi / (wi + wa + wb + 1e-9)).alias("wjac"),
-        F.when(empty, 0.0).otherwise(wa).alias("unexpl_a"),
-        F.when(empty, 0.0).otherwise(wb).alias("unexpl_b"),
-    )
+
+    def body(a, b, i, x, y):
+        empty = (F.size(a) == 0) | (F.size(b) == 0)
+        sums = F.struct(_total(i).alias("i"), _total(x).alias("x"), _total(y).alias("y"))
+        return let(
+            sums,
+            lambda w: F.struct(
+                F.when(empty, -1.0).otherwise(F.size(i) / F.least(F.size(a), F.size(b))).alias("contain"),
+                F.when(empty, -1.0).otherwise(w["i"] / (w["i"] + w["x"] + w["y"] + 1e-9)).alias("wjac"),
+                F.when(empty, 0.0).otherwise(w["x"]).alias("unexpl_a"),
+                F.when(empty, 0.0).otherwise(w["y"]).alias("unexpl_b"),
+            ),
+        )
+
+    return _split(a, b, body)
 
 
 def token_evidence(a: Column, b: Column) -> Column:
     """struct(wjac, max_idf, n_shared, unexpl_min, unexpl_max, overlap, both_empty) by the older rules, of arrays as in set_features()."""
-    words = lambda x: F.transform(x, lambda t: t["w"])
-    part = lambda x, other, inside: F.filter(x, lambda t: F.array_contains(other, t["w"]) == inside)
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, t: s + t["idf"])
-    shared = part(a, words(b), True)
-    wi, wa, wb = total(shared), total(part(a, words(b), False)), total(part(b, words(a), False))
-    empty = (F.size(a) == 0) | (F.size(b) == 0)
-    zero = lambda x: F.when(empty, 0.0).otherwise(x)
-    return F.struct(
-        F.when(empty, -1.0).otherwise(wi / (wi + wa + wb)).alias("wjac"),
-        zero(F.coalesce(F.array_max(F.transform(shared, lambda t: t["idf"])), F.lit(0.0))).alias("max_idf"),
-        zero(F.size(shared).cast("double")).alias("n_shared"),
-        zero(F.least(wa, wb)).alias("unexpl_min"),
-        zero(F.greatest(wa, wb)).alias("unexpl_max"),
-        zero(F.size(shared) / F.least(F.size(a), F.size(b))).alias("overlap"),
-        ((F.size(a) == 0) & (F.size(b) == 0)).cast("int").alias("both_empty"),
-    )
+
+    def body(a, b, i, x, y):
+        empty = (F.size(a) == 0) | (F.size(b) == 0)
+        zero = lambda v: F.when(empty, 0.0).otherwise(v)
+        sums = F.struct(_total(i).alias("i"), _total(x).alias("x"), _total(y).alias("y"))
+        return let(
+            sums,
+            lambda w: F.struct(
+                F.when(empty, -1.0).otherwise(w["i"] / (w["i"] + w["x"] + w["y"])).alias("wjac"),
+                zero(F.coalesce(F.array_max(_weights(i)), F.lit(0.0))).alias("max_idf"),
+                zero(F.size(i).cast("double")).alias("n_shared"),
+                zero(F.least(w["x"], w["y"])).alias("unexpl_min"),
+                zero(F.greatest(w["x"], w["y"])).alias("unexpl_max"),
+                zero(F.size(i) / F.least(F.size(a), F.size(b))).alias("overlap"),
+                ((F.size(a) == 0) & (F.size(b) == 0)).cast("int").alias("both_empty"),
+            ),
+        )
+
+    return _split(a, b, body)
 
 
 def number_features(a: Column, b: Column) -> Column:
