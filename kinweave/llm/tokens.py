@@ -1,21 +1,24 @@
-"""Tokenisation with a public vocabulary that closes every word with an end mark, word by word and remembered.
+"""Tokenisation with a public vocabulary that closes every word with an end mark, piece by piece and remembered.
 
-Its normaliser and its splitter work within words between white spaces, so the ids of a text are those of its words in a
-row. Words recur, so each Python worker remembers the ids of the words that it has met, up to a fixed number.
+Its splitter cuts a lower-cased text into runs of letters, single digits, short forms such as 's and runs of other signs, and
+its merges work within these pieces. So the ids of a text are those of its pieces in a row; pieces recur, and each Python
+worker remembers the ids of those that it has met, up to a fixed number. Texts with characters outside the range where this
+module cuts exactly as the splitter does go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import unicodedata
 
 import numpy as np
 
-#: Words, and parts of words, whose ids a worker remembers; as many older ones are kept until these are met again or pushed out.
-WORDS, PARTS = 300_000, 500_000
-#: Letters, then ASCII punctuation without the apostrophe: two tokens of the splitter's, whatever their case.
-_PLAIN = re.compile(r"([^\W\d_]*)([!-&(-/:-@\[-`{-~]*)")
+#: Pieces whose ids a worker remembers; as many older ones are kept until they are met again or pushed out.
+REMEMBER = 400_000
+#: What the splitter does below U+0250: letters, short forms, single digits, other signs.
+PIECE = re.compile(r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+#: Characters that Python and the tokenizer may treat differently.
+OTHER = re.compile(r"[\x1c-\x1fİɐ-\U0010ffff]")
 
 
 class Memory:
@@ -49,33 +52,18 @@ class WordTokenizer:
         closes = [i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
         self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.closes[closes] = True
-        self.words, self.parts = Memory(WORDS), Memory(PARTS)
+        self.pieces = Memory(REMEMBER)
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()  # bytes.split() cuts at ASCII white space alone
+        if OTHER.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        pieces = PIECE.findall(text.lower())
         try:
-            return b"".join(map(self.words.young.__getitem__, words))
+            return b"".join(map(self.pieces.young.__getitem__, pieces))
         except KeyError:
-            self._learn(self.words.missing(set(words)))
-            return b"".join(map(self.words.young.__getitem__, words))
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain, rest = [], []
-        for w in words:
-            s = w.decode()
-            m = _PLAIN.fullmatch(s)
-            if m and (s.isascii() or max(s) < "ɐ" and "İ" not in s and unicodedata.is_normalized("NFC", s)):
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                rest.append(s)
-        new = self._at_once(self.parts.missing({p for _, a, b in plain for p in (a, b) if p}))
-        self.parts.young.update(new)
-        ids, known = self.parts.young, self.words.young
-        ids[""] = b""
-        for w, a, b in plain:
-            known[w] = ids[a] + ids[b]
-        for s, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            known[s.encode()] = np.array(e.ids, "<u4").tobytes()
+            new = self._at_once(self.pieces.missing(set(pieces)))
+            self.pieces.young.update(new)
+            return b"".join(map(self.pieces.young.__getitem__, pieces))
 
     def _at_once(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces that are one token of the splitter's each, from one call: each ends at its end mark."""
