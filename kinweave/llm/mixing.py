@@ -8,7 +8,7 @@ border gives only the words that still fit, so that a source's taken words diffe
 
 A source may hold a third of all rows, so nothing sorts a source in one task: keys fall into `buckets` ranges; the ranges'
 sizes, summed by (source, range), tell which range holds the border, and only that range is sorted, by a second, finer set
-of ranges first. Sources and ranges are joined without a hint, so that a small side is broadcast by its measured size.
+of ranges first. The table of sources is broadcast after its rows have been counted, else joined by sort.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .common import cut, n_words
 #: Weights in turn for the sources in their order, the total as a share of all sizes, and the most epochs, as the query contract fixes them.
 WEIGHTS, TOTAL, MOST = (5, 2, 1), 1.5, 2.0
 BUCKETS = 1024
+#: Sources up to which their table (some 100 bytes a row) is broadcast.
+BROADCAST = 100_000
 
 
 def quality_of(text: Column) -> Column:
@@ -71,12 +73,13 @@ def mix(docs: DataFrame, keep: list[str] | None = None, quality: Column | None =
     plan = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, total, most)
     plan = plan.withColumn("goal", F.round("target").cast("long")).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.col("goal") - F.col("epochs") * F.col("source_size"))
+    plan = cut(plan)
     first = _border(sums, plan.select("source", "rest"), ["source"], "b1")
-    within = light.join(first.select(F.col("source").alias("s"), F.col("b1").alias("edge1"), F.col("rest").alias("r")), F.col("source").eqNullSafe(F.col("s")) & (F.col("b1") == F.col("edge1")))
+    within = _by_source(light, first.select(F.col("source").alias("s"), F.col("b1").alias("edge1"), F.col("rest").alias("r"))).where("b1 = edge1")
     fine = within.groupBy("source", "b2", "r").agg(F.sum("size").alias("n"))
     second = _border(fine.select("source", "b2", "n"), fine.groupBy("source").agg(F.max("r").alias("rest")), ["source"], "b2")
     edges = plan.join(first.select(F.col("source").alias("s1"), F.col("b1").alias("e1")), F.col("source").eqNullSafe(F.col("s1")), "left").join(second.select(F.col("source").alias("s2"), F.col("b2").alias("e2"), F.col("rest").alias("left_over")), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s1", "s2").withColumnRenamed("source", "s")
-    joined = rows.join(edges, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    joined = _by_source(rows, edges)
     on_edge = (F.col("b1") == F.col("e1")) & (F.col("b2") == F.col("e2"))
     inside = F.when((F.col("b1") < F.col("e1")) | ((F.col("b1") == F.col("e1")) & (F.col("b2") < F.col("e2"))), F.col("size")).otherwise(0)
     on_edge = F.coalesce(on_edge, F.lit(False))
@@ -88,6 +91,13 @@ def mix(docs: DataFrame, keep: list[str] | None = None, quality: Column | None =
     return plain.unionByName(edge).select(F.col("_id").alias(id_col), "size", "source", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep or []])
 
 
+def _by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with the columns of table, which has a row per source (`s`): broadcast if counted at BROADCAST rows or fewer, else joined by sort, where Spark splits hot sources."""
+    table = cut(table)
+    small = table.count() <= BROADCAST
+    return rows.join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+
+
 def _border(sums: DataFrame, rests: DataFrame, by: list[str], bucket: str) -> DataFrame:
     """By source: the first range by which the sum of sizes exceeds `rest`, and what of rest is left at its begin."""
     there = sums.join(rests.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
