@@ -62,7 +62,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column,
     return [(r["t"], picked[r["i"]][1]) for r in sorted(found, key=lambda r: picked[r["i"]][0])]
 
 
-def map_texts(df: DataFrame, id_cols: list[str], text_col: str, schema: str, scorer: Callable[[list[str]], dict[str, list]], slice_bytes: int = 8 << 20) -> DataFrame:
+def map_texts(df: DataFrame, id_cols: list[str], text_col: str, schema: str, scorer: Callable[[list[str]], dict[str, list]], slice_bytes: int = 4 << 20) -> DataFrame:
     """Applies scorer to whole texts (null as empty) in Arrow batches, a few MB at a time, and carries id_cols along unchanged.
 
     scorer gets a list of texts and returns the further columns of schema as lists. Memory is bounded by one Arrow batch and slice_bytes or the longest text.
@@ -71,6 +71,7 @@ def map_texts(df: DataFrame, id_cols: list[str], text_col: str, schema: str, sco
     ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("")
         for batch in batches:
             for lo, hi in slices(batch.column(batch.num_columns - 1), slice_bytes):
                 part = batch.slice(lo, hi - lo)
@@ -78,6 +79,7 @@ def map_texts(df: DataFrame, id_cols: list[str], text_col: str, schema: str, sco
                 out = scorer(texts)
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, *(x if isinstance(x, pa.Array) else pa.array(x) for x in out.values())], names=[*part.schema.names[:-1], *out])
+        release("")
 
     return df.select(*id_cols, F.col(text_col).alias("_text")).mapInArrow(run, f"{ids}, {schema}")
 
@@ -114,8 +116,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def release(keep: str) -> None:
+    """Gives memory of a Python worker back to the system: what other operators than that named have stashed, and freed blocks."""
+    import ctypes
+    import gc
+    import sys
+
+    kept = sys.__dict__.get("_kinweave_stash", {})
+    for name in [n for n in kept if not keep or not n.startswith(keep)]:
+        del kept[name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps freed blocks
+        pass
+
+
 def stash(name: str, make: Callable):
-    """What make() returned when this name was first asked for in this process; it outlives the tasks of a Python worker."""
+    """What make() returned when this name was first asked for in this process; it outlives the tasks of a Python worker until release()."""
     import sys
 
     kept = sys.__dict__.setdefault("_kinweave_stash", {})

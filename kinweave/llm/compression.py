@@ -8,15 +8,17 @@ weights, so what is sent to the executors has a fixed size. Scoring is one pass
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, labelled_sample, logistic, map_texts, sigmoid
+from .common import crc_fold, labelled_sample, logistic, map_texts, release, sigmoid
 
 
 @dataclass(frozen=True)
@@ -103,7 +105,14 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows whose text scores `least` or more, with all their columns unchanged."""
     score = model.scorer()
-    marks = F.pandas_udf(lambda texts: texts.map(lambda t: bool(score([t])[0] >= least)).astype(bool), "boolean")
+
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release("")
+        for texts in batches:
+            yield pd.Series(score(texts.tolist()) >= least)
+        release("")
+
+    marks = F.pandas_udf(good, "boolean", F.PandasUDFType.SCALAR_ITER)
     return docs.where(marks(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import release, stash
 from .tokens import WordTokenizer
 
 VOCABULARY = "word_bpe_49k.json"
@@ -132,6 +132,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: Callable[[]
 
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         file = path()
+        release("tokenizer")
         tokenizer = stash(f"tokenizer {file}", lambda: WordTokenizer(file))
         packer, keys, kind, rows = Packer(limits), {}, None, []
         held = 0
@@ -154,7 +155,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: Callable[[]
                 for piece in packer.add(count, tokenizer.encode(batch.column(1)[i].as_py() or "") + closing):
                     rows.append(piece)
                     held += len(piece[2])
-                if held > 8 << 20:
+                if held > 4 << 20:
                     yield table()
                     rows, held = [], 0
                 count += 1
@@ -165,6 +166,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: Callable[[]
             rows = list(packer.pack(True))
             if rows:
                 yield table()
+        release("tokenizer")
 
     schema = f"`{field.name}` {field.dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, release, slices
 
 RESET = 0xFF
 
@@ -399,28 +399,35 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_col
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
-    """Docs with every secret in the text replaced by `mark`, overlapping ones by one mark; texts without secrets, nulls included, stay as they are."""
-    scanner = scanner_of(rules)
+    """Docs with every secret in the text replaced by `mark`, overlapping ones by one mark; texts without secrets, nulls included, stay as they are.
 
-    def score(texts: list[str]) -> dict:
-        out = []
-        raw = [t.encode() for t in texts]
-        for text, data, spans in zip(texts, raw, scanner.spans(raw), strict=True):
-            if not spans:
-                out.append(text)
-                continue
-            parts, at = [], 0
-            for _, a, b in spans:
-                if a >= at:
-                    parts += [data[at:a], mark.encode()]
-                at = max(at, b)
-            out.append(b"".join([*parts, data[at:]]).decode())
-        return {"_clean": pa.array(out, pa.string())}
-
-    others = [f"`{c}`" for c in docs.columns]
-    done = map_texts(docs.select(*others), [f"`{c}`" for c in docs.columns], f"`{text_col}`", "_clean string", score)
-    clean = F.when(F.col(f"`{text_col}`").isNull(), F.lit(None).cast("string")).otherwise(F.col("_clean"))
-    return done.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    All columns pass through; only the text column, found by its place, is rewritten, a few MB of text at a time.
+    """
+    scanner, place, stamp = scanner_of(rules), docs.columns.index(text_col), mark.encode()
+
+    def clean(data: bytes, spans: list[tuple[int, int, int]]) -> str:
+        parts, at = [], 0
+        for _, a, b in spans:
+            if a >= at:
+                parts += [data[at:a], stamp]
+            at = max(at, b)
+        return b"".join([*parts, data[at:]]).decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("")
+        for batch in batches:
+            for lo, hi in slices(batch.column(place), 2 << 20):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column(place).to_pylist()
+                found = scanner.spans([(t or "").encode() for t in texts])
+                if any(found):
+                    fixed = [clean(t.encode(), s) if s else t for t, s in zip(texts, found, strict=True)]
+                    columns = [pa.array(fixed, part.schema.field(i).type) if i == place else c for i, c in enumerate(part.columns)]
+                    part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
+                yield part
+        release("")
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _joined(spans) -> F.Column:

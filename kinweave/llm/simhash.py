@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_texts
 
 SEED = 42
 #: Words of a shingle and bits that may differ, as the query contract fixes them.
@@ -144,8 +144,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null component_id. Repeated rows are kept; equal fingerprints are one node. An empty table gives an empty result.
     Further columns of docs, whatever their names, aren't read.
     """
-    mark = F.pandas_udf(lambda texts: texts.map(lambda t: signed(fingerprint(t, width))).astype("int64"), "long")
-    prints = cut(docs.select(F.col(id_col).alias("_id"), mark(F.coalesce(F.col(text_col), F.lit(""))).alias("fp")))
+    score = lambda texts: {"fp": pa.array([signed(fingerprint(t, width)) for t in texts], pa.int64())}
+    prints = cut(map_texts(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")), ["_id"], "t", "fp long", score))
     classes = cut(prints.where("_id is not null").groupBy("fp").agg(F.min("_id").alias("rep")))
     roots = components(near_edges(classes, radius, hot)).withColumnRenamed("node", "fp")
     linked = classes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
