@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pair_queries, statistics_queries, text_queries  # noqa: F401
+from . import model_queries, pair_queries, statistics_queries, text_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 
