@@ -122,7 +122,7 @@ def address_parts(folded: Column | str) -> Column:
 
         return let(F.transform(s["rest"], lambda c: let(component_tokens(c), marks)), from_marks)
 
-    return let(components(clean_address(folded)), gather)
+    return let(let(clean_address(folded), components), gather)
 
 
 def address_old(raw: Column | str) -> Column:

@@ -159,8 +159,9 @@ def tri_state(a: Column | str, b: Column | str) -> Column:
     return F.when((x == "") | (y == ""), 0).when(x == y, 1).otherwise(-1)
 
 
-def _coded(a: Column) -> Column:
-    """Tokens with their weights as strings: sets of strings meet by hash, those of structs don't."""
+def coded(a: Column | str) -> Column:
+    """Tokens with their weights, array<struct<w, idf>>, as strings: sets of strings meet by hash, those of structs don't. Done once a record, pairs need not do it."""
+    a = col(a)
     return F.transform(a, lambda t: F.concat_ws("\x00", t["w"], t["idf"].cast("string")))
 
 
@@ -173,13 +174,13 @@ def _total(a: Column) -> Column:
 
 
 def _split(a: Column, b: Column, body) -> Column:
-    """body(a, b, common, only a, only b) of two coded sets, each computed once."""
+    """body(a, b, common, only a, only b) of two coded() sets, each computed once."""
     parts = lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.array_intersect(s["a"], s["b"]).alias("i"), F.array_except(s["a"], s["b"]).alias("x"), F.array_except(s["b"], s["a"]).alias("y"))
-    return let(let(F.struct(_coded(a).alias("a"), _coded(b).alias("b")), parts), lambda s: body(s["a"], s["b"], s["i"], s["x"], s["y"]))
+    return let(let(F.struct(a.alias("a"), b.alias("b")), parts), lambda s: body(s["a"], s["b"], s["i"], s["x"], s["y"]))
 
 
 def set_features(a: Column, b: Column) -> Column:
-    """struct(contain, wjac, unexpl_a, unexpl_b) of two arrays of distinct struct(w, idf) with weights from one table; linear.
+    """struct(contain, wjac, unexpl_a, unexpl_b) of two coded() sets of distinct tokens with weights from one table; linear.
 
     contain: common words over the smaller set; wjac: weight of common words over all; unexpl: weights of one side's further
     words. Where a side is empty: -1, -1, 0, 0.
@@ -202,7 +203,7 @@ def set_features(a: Column, b: Column) -> Column:
 
 
 def token_evidence(a: Column, b: Column) -> Column:
-    """struct(wjac, max_idf, n_shared, unexpl_min, unexpl_max, overlap, both_empty) by the older rules, of arrays as in set_features()."""
+    """struct(wjac, max_idf, n_shared, unexpl_min, unexpl_max, overlap, both_empty) by the older rules, of sets as in set_features()."""
 
     def body(a, b, i, x, y):
         empty = (F.size(a) == 0) | (F.size(b) == 0)

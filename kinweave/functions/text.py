@@ -137,8 +137,7 @@ def skeleton(word: Column | str) -> Column:
     w = col(word)
     w = F.when(w.rlike(r"\p{L}"), F.translate(w, "0153", "olse")).otherwise(w)
     w = replace_all(w, vocab.SOUNDS)
-    w = F.concat(F.substring(w, 1, 1), F.translate(F.substr(w, F.lit(2)), "aeouy", ""))
-    return F.regexp_replace(w, r"(.)\1+", "$1")
+    return F.regexp_replace(F.regexp_replace(w, "(?<=.)[aeouy]", ""), r"(.)\1+", "$1")
 
 
 def skeleton_old(word: Column | str) -> Column:
@@ -244,14 +243,18 @@ def core_of(words: Column) -> Column:
 
 def name_words(folded: Column | str) -> Column:
     """struct(main, alias, joined) of a folded name: junk off, web address taken out, symbols as words, digits as letters, repeats dropped, alias split."""
-    t = strip_junk(folded)
-    joined = domain_of(t)
-    t = without_domain(t)
-    t = F.replace(F.replace(F.replace(t, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" and ")), F.lit("'"), F.lit(""))
-    t = F.regexp_replace(t, rf"\b({'|'.join(vocab.ALIAS_PHRASES)})\b", " dba ")
-    t = join_single_letters(F.regexp_replace(t, "[^a-z0-9 ]+", " "))
-    words = drop_repeats(F.transform(tokens(t), unleet))
-    return let(F.struct(split_alias(words).alias("s"), joined.alias("j")), lambda x: F.struct(x["s"]["main"].alias("main"), x["s"]["alias"].alias("alias"), x["j"].alias("joined")))
+
+    def words(t: Column) -> Column:
+        t = F.replace(F.replace(F.replace(t, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" and ")), F.lit("'"), F.lit(""))
+        t = F.regexp_replace(t, rf"\b({'|'.join(vocab.ALIAS_PHRASES)})\b", " dba ")
+        t = join_single_letters(F.regexp_replace(t, "[^a-z0-9 ]+", " "))
+        return drop_repeats(F.transform(tokens(t), unleet))
+
+    def build(t: Column) -> Column:
+        split = let(words(let(t, without_domain)), split_alias)
+        return let(F.struct(split.alias("s"), domain_of(t).alias("j")), lambda x: F.struct(x["s"]["main"].alias("main"), x["s"]["alias"].alias("alias"), x["j"].alias("joined")))
+
+    return let(let(col(folded), strip_junk), build)
 
 
 def segment(text: str, frequency: dict[str, float], longest: int = 24) -> list[str]:

@@ -101,7 +101,7 @@ def pair_features_old(pairs: DataFrame) -> DataFrame:
     found |= {"lm_cross": F.greatest(F.when(la != "", F.col("_s.lm_a")).otherwise(-1.0), F.when(lb != "", F.col("_s.lm_b")).otherwise(-1.0))}
     for name, source in (("nm", "_n"), ("ad", "_a")):
         found |= {f"{name}_{k}": F.col(f"{source}.{k}") for k in ("wjac", "max_idf", "n_shared", "unexpl_min", "unexpl_max", "overlap", "both_empty")}
-    found |= {"nm_s1_max_idf": F.coalesce(F.array_max(F.transform("a_name_idf", lambda t: t["idf"])), F.lit(0.0))}
+    found |= {"nm_s1_max_idf": F.coalesce(F.array_max(F.transform("a_name_idf", lambda t: F.substring_index(t, "\x00", -1).cast("double"))), F.lit(0.0))}
     found |= {k: F.col(f"_d.{k}") for k in ("pc_state", "pc3_eq", "house_state", "num_jac", "num_conflict", "num_both")}
     found |= {"country_state": sim.tri_state("a_country_norm", "b_country_norm"), "tgt_is_s3": F.col("b_source") == "S3"}
     kept = [c for c in pairs.columns if not c.startswith(("a_", "b_"))]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.similarity import coded
+
 
 def token_counts(records: DataFrame, tokens: str) -> DataFrame:
     """(w, n): occurrences of each token, repeats within a record included."""
@@ -34,10 +36,10 @@ def idf_smooth(counts: DataFrame, n_records: Column) -> DataFrame:
 
 
 def weigh_tokens(records: DataFrame, rid: str, tokens: str, weights: DataFrame, default: float, out: str) -> DataFrame:
-    """(rid, out): each record's distinct tokens as array<struct<w, idf>>, so that pairs need no join with the weights later."""
+    """(rid, out): each record's distinct tokens with their weights, sorted and coded as similarity.set_features() takes them, so that pairs need no join with the weights."""
     pairs = records.select(rid, F.explode(F.array_distinct(tokens)).alias("w")).join(weights, "w", "left")
     found = pairs.groupBy(rid).agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("idf", F.lit(default)).alias("idf")))).alias(out))
-    return records.select(rid).join(found, rid, "left").withColumn(out, F.coalesce(out, F.array().cast("array<struct<w:string,idf:double>>")))
+    return records.select(rid).join(found.withColumn(out, coded(out)), rid, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
 def unknown_fraction(records: DataFrame, rid: str, tokens: str, known: DataFrame) -> DataFrame:
