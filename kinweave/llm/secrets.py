@@ -253,6 +253,8 @@ def _either(states, ends) -> int:
 
 def minimised(table: np.ndarray, mask: np.ndarray) -> Automaton:
     """Merges states that no input tells apart (Moore's refinement), the start keeping number 0."""
+    if mask[0]:
+        raise ValueError("a pattern matches the empty text")
     block = np.unique(mask, return_inverse=True)[1]
     while True:
         finer = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)[1].ravel()
@@ -268,8 +270,6 @@ def minimised(table: np.ndarray, mask: np.ndarray) -> Automaton:
     back = np.empty(len(last), np.int64)
     back[last] = np.arange(len(last))
     new, accepts = back[new[last]], accepts[last]
-    if back[0] != 0:
-        raise ValueError("a pattern matches the empty text")
     dead = [i for i in range(len(new)) if not accepts[i] and (new[i] == i).all()]
     return Automaton(new.astype(np.int32).ravel(), accepts, dead[0] if dead else -1)
 
