@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import compression, language, mixing, packing, rules, secrets, simhash, toxicity, urls
+from . import audio, compression, language, mixing, packing, rules, secrets, simhash, toxicity, urls
 
 QUERIES = (
     simhash.op1_simhash_near_dedup,
+    audio.op2_chroma_fingerprints,
     secrets.op3_secret_scans,
     toxicity.op4_toxicity_segments,
     rules.op5_quality_rules,

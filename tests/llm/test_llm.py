@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kinweave.llm import common, compression, language, mixing, packing, rules, secrets, simhash, tokens, toxicity, urls
+from kinweave.llm import audio, common, compression, language, mixing, packing, rules, secrets, simhash, tokens, toxicity, urls
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 LONG = " ".join(random.Random(5).choice(WORDS) for _ in range(40_000))
@@ -343,3 +343,29 @@ def test_queries_have_the_contracts_columns(spark):
         assert out.columns[: len(columns)] == columns and out.count() >= 200 or name.startswith("op10")
     row = registry.queries()["op3_secret_scans"](spark, data).where("spans = ''").first()
     assert row["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def tones(seed, seconds=4):
+    rng, t = np.random.default_rng(seed), np.arange(2000) / audio.RATE
+    parts = [sum(np.sin(2 * np.pi * f * t) for f in rng.uniform(100, 2000, 3)) for _ in range(seconds * audio.RATE // 2000)]
+    return np.clip(np.concatenate(parts) * 25 + 128, 0, 255).astype(np.uint8)
+
+
+def test_fingerprints_of_recordings(spark, docs):
+    assert len(set(audio.FILTERS)) == 16
+    rng = np.random.default_rng(2)
+    songs = [tones(i) for i in range(12)]
+    shifted = [s[audio.HOP * 40 : audio.HOP * 300] for s in songs]
+    noisy = [np.clip(s + rng.normal(0, 2, len(s)), 0, 255).astype(np.uint8) for s in shifted]
+    rows = [(i, bytearray(s.tobytes())) for i, s in enumerate(songs)] + [(100 + i, bytearray(s.tobytes())) for i, s in enumerate(shifted)] + [(200 + i, bytearray(s.tobytes())) for i, s in enumerate(noisy)]
+    rows += [(300, bytearray(songs[3].tobytes())), (301, None), (302, bytearray()), (None, bytearray(songs[0].tobytes()))]
+    media = spark.createDataFrame(rows, "id long, data binary")
+    got = {r["id"]: r for r in audio.align_recordings(media, "id", "data").collect()}
+    assert len(got) == len(rows) and got[300]["class_id"] == 3 and got[301]["class_id"] == got[302]["class_id"] == 301 and got[None]["class_id"] is None
+    assert all(got[100 + i]["aligned_to"] == i and got[100 + i]["offset"] == 40 and got[100 + i]["bit_error"] == 0 for i in range(12))
+    found = sum(got[200 + i]["aligned_to"] in (i, 100 + i) and got[200 + i]["bit_error"] < 0.25 for i in range(12))
+    assert found >= 11  # brute force over all pairs finds each; recall of 0.9 at least
+    a, b = (audio.codes(x.tobytes()) for x in (songs[5], noisy[5]))
+    errors = {o: np.bitwise_count(a[o : o + len(b)] ^ b[: len(a) - o]).mean() for o in range(len(a) - len(b) + 1)}
+    assert audio.align(a, b)[0] == min(errors, key=errors.get) == 40
+    assert audio.align_recordings(docs, "doc_id", "text").count() == docs.count() and audio.align_recordings(docs.limit(0), "doc_id", "text").count() == 0
