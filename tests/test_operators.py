@@ -91,3 +91,24 @@ def test_fates(spark):
     t = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "i1 int, it int")
     got = {r["it"]: r["fate"] for r in diagnostics.link_fate(t, t.where("it < 3"), t.where("it < 2")).collect()}
     assert got == {1: "kept", 2: "pruned", 3: "never"}
+
+
+def test_mistakes(spark):
+    t = spark.createDataFrame([(1, 1), (1, 2)], "i1 int, it int")
+    p = spark.createDataFrame([(1, 2), (1, 3), (1, 3), (2, 4)], "i1 int, it int")
+    assert sorted(tuple(r) for r in diagnostics.mistakes(p, t, 5).collect()) == [(1, 1, "missed"), (1, 3, "false"), (2, 4, "false")]
+    assert diagnostics.mistakes(p, t, 1).count() == 2
+
+
+def test_linker_is_kept(spark, tmp_path):
+    from kinweave.operators import models
+    from kinweave.plans import linkage
+
+    d = spark.range(200).select(F.col("id").alias("i1"), (F.col("id") % 2).alias("y"), (F.col("id") % 2 + F.col("id") / 1000).alias("x"))
+    model = models.fit(d, ["x"], trees=2, depth=2, leaf=1)
+    scored = models.score(model, d, "raw")
+    linker = linkage.Linker(model, model, models.calibration(scored), ["x"], [], ("thr", 0.5, 1.0))
+    linker.save(spark, str(tmp_path / "linker"))
+    back = linkage.Linker.load(spark, str(tmp_path / "linker"))
+    assert back.columns == ["x"] and back.rule == ("thr", 0.5, 1.0)
+    assert models.score(back.first, d, "raw").select("raw").collect() == scored.select("raw").collect()
