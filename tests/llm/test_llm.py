@@ -333,7 +333,7 @@ def test_queries_have_the_contracts_columns(spark):
     if not os.path.isdir(data):
         pytest.skip("the driver's tables aren't here")
     wanted = {
-        "op1": "doc_id fingerprint component_id", "op3": "doc_id n_assign n_access n_hex base_sha256 spans", "op4": "doc_id held_out score predicted",
+        "op1": "doc_id fingerprint component_id", "op2": "doc_id n_frames fingerprint class_id", "op3": "doc_id n_assign n_access n_hex base_sha256 spans", "op4": "doc_id held_out score predicted",
         "op5": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op6": "doc_id held_out lang_pred score",
         "op7": "doc_id start length ids_crc32 doc_tokens sequence_id offset", "op8": "doc_id size source_size target taken", "op9": "doc_id held_out score predicted", "op10": "page_id host path rule verdict",
     }
