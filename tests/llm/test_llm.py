@@ -369,3 +369,15 @@ def test_fingerprints_of_recordings(spark, docs):
     errors = {o: np.bitwise_count(a[o : o + len(b)] ^ b[: len(a) - o]).mean() for o in range(len(a) - len(b) + 1)}
     assert audio.align(a, b)[0] == min(errors, key=errors.get) == 40
     assert audio.align_recordings(docs, "doc_id", "text").count() == docs.count() and audio.align_recordings(docs.limit(0), "doc_id", "text").count() == 0
+
+
+def test_a_common_head_hides_no_partner(spark):
+    jingle, songs = tones(900, 2), [tones(901 + i, 2) for i in range(12)]
+    rows = [(0, jingle)] + [(1 + i, np.concatenate([jingle, s])) for i, s in enumerate(songs)] + [(101 + i, np.concatenate([jingle, s])[: -audio.HOP * 20]) for i, s in enumerate(songs)]
+    rows += [(300, np.concatenate([songs[0], tones(950, 1), songs[1]]))]  # holds parts of two others
+    media = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in rows], "id long, data binary")
+    got = {r["id"]: r for r in audio.align_recordings(media, "id", "data").collect()}
+    linked = {i: {x["head"] for x in r["links"] or []} for i, r in got.items()}
+    assert sum(1 + i in linked[101 + i] for i in range(12)) >= 11  # all hold the jingle, whose id is the least
+    assert {1, 2} <= linked[300]
+    assert all(r["links"] is None or r["links"][0]["head"] == r["aligned_to"] for r in got.values())
