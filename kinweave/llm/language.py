@@ -1,6 +1,6 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Each word (a run of letters, lower-cased) scores for each language by its prefixes, suffixes, letter trigrams and, for frequent
+Each word (a run of at most 32 letters, lower-cased; longer ones are cut, so that each letter counts) scores for each language by its prefixes, suffixes, letter trigrams and, for frequent
 training words, itself (a lexicon), hashed into a table of fixed size; learned transitions tie neighbours together. The
 field is fitted by AdaGrad on the conditional likelihood of sequences that join passages of several training documents,
 so that switches within a text are learned too. Forward-backward gives each word's marginals over whole texts; their sum
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, labelled_sample, map_texts
 
-TOKEN = re.compile(r"[^\W\d_]+")
+#: A longer run of letters, as in scripts without spaces, is successive words of at most 32 letters.
+TOKEN = re.compile(r"[^\W\d_]{1,32}")
 CHUNK = 64
 #: Words whose scores a worker remembers.
 REMEMBER = 200_000
@@ -56,9 +57,8 @@ def tokens(text: str) -> list[str]:
 
 
 def features(word: str, lexicon: frozenset[str], table: int) -> list[int]:
-    """Hashed features of a word; of one over 32 letters, those of its first 24 and last 8."""
-    w = word if len(word) <= 32 else word[:24] + word[-8:]
-    edged = f"^{w}$"
+    """Hashed features of a word."""
+    w, edged = word, f"^{word}$"
     names = [f"p{w[:2]}", f"p{w[:3]}", f"s{w[-2:]}", f"s{w[-3:]}", *("t" + edged[i : i + 3] for i in range(len(edged) - 2))]
     if word in lexicon:
         names.append("w" + word)

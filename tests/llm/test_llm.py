@@ -381,3 +381,15 @@ def test_a_common_head_hides_no_partner(spark):
     assert sum(1 + i in linked[101 + i] for i in range(12)) >= 11  # all hold the jingle, whose id is the least
     assert {1, 2} <= linked[300]
     assert all(r["links"] is None or r["links"][0]["head"] == r["aligned_to"] for r in got.values())
+
+
+def test_language_of_unbroken_text(spark):
+    assert language.tokens("x" * 70 + " ab") == ["x" * 32, "x" * 32, "x" * 6, "ab"]
+    other = lambda i: " ".join(w[::-1] + "o" for w in prose(i).split())
+    model = language.fit([(prose(i), "en") if i % 2 else (other(i), "xx") for i in range(80)], language.Settings(sequences=600, epochs=3))
+    en, xx = prose(900).replace(" ", ""), other(901).replace(" ", "")
+    text = en[:24] + xx[:640] + en[-8:]  # its first 24 and last 8 letters are of the other language
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert language.identify(frame, model).first()["lang_pred"] == "xx"
+    parts = language.runs(en[:320] + xx[:320], model)
+    assert parts[0][2] == "en" and parts[-1][2] == "xx" and (parts[0][0], parts[-1][1]) == (0, 640)
