@@ -26,12 +26,16 @@ RESET = 0xFF
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: head then body; a match whose body has fewer than min_body bytes is dropped, after it has consumed its text."""
+    """A kind of secret: head then body; a match whose body has fewer than min_body bytes is dropped, after it has consumed its text.
+
+    apart: the pass over the bytes seeks the head alone, which keeps its automaton small; the body is worked out from there on.
+    """
 
     kind: str
     head: str
     body: str
     min_body: int = 1
+    apart: bool = False
 
 
 #: The base rules in their fixed order, then the rules that this method adds.
@@ -40,12 +44,14 @@ BASE = (
     Rule("access", r"AKIA", r"[A-Z0-9]+", 16),
     Rule("hex", r"", r"[0-9a-f]{8,}", 24),  # 8 here keeps the automaton small; the 24 hold through min_body
 )
+#: Of a private key: header lines, then base64 up to the closing line; where that is missing, its runs of base64 with 16 characters or more. \\ is for line ends written as \\n.
+PEM = r"(?:[\x0A\x0D]+[A-Za-z][A-Za-z0-9-]*:[\x20-\x7E]*)*(?:[A-Za-z0-9+/=\\\x09\x0A\x0D\x20]*-----END [A-Z ]*PRIVATE KEY-----|(?:[\\\x09\x0A\x0D\x20]+[A-Za-z0-9+/=]{16,})*)"
 ADDED = (
     Rule("github", r"gh[opsur]_", r"[A-Za-z0-9]+", 36),
     Rule("slack", r"xox[abprs]-", r"[A-Za-z0-9-]+", 10),
     Rule("google", r"AIza", r"[A-Za-z0-9_-]+", 35),
     Rule("jwt", r"eyJ", r"[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 20),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"", 0),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", PEM, 0, True),
 )
 
 
@@ -279,7 +285,8 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...]) -> None:
         self.rules = rules
-        self.all = compile_rules([r.head + r.body for r in rules], anywhere=True)
+        self.all = compile_rules([r.head if r.apart else r.head + r.body for r in rules], anywhere=True)
+        self.apart = sum(1 << k for k, r in enumerate(rules) if r.apart)
         self.first_hit = int(np.argmax(self.all.accepts > 0))
         self.table = self.all.next.astype(np.uint16 if len(self.all) <= 1 << 16 else np.uint32)
         self.own = []
@@ -316,7 +323,7 @@ class Scanner:
         if not len(hits):
             return found
         starts = np.cumsum([1] + [len(t) + 1 for t in texts[:-1]])
-        done = 0
+        done, met = 0, {}
         for hit in hits.tolist():
             if hit < done:
                 continue
@@ -329,7 +336,10 @@ class Scanner:
             rules = int(np.bitwise_or.reduce(self.all.accepts[line[low:high]]))
             d = int(np.searchsorted(starts, low, side="right")) - 1
             at = low - int(starts[d])
-            found[d] += [(k, a + at, b + at) for k, a, b in self.exact(texts[d][at : high - int(starts[d])], rules)]
+            found[d] += [(k, a + at, b + at) for k, a, b in self.exact(texts[d][at : high - int(starts[d])], rules & ~self.apart)]
+            if new := rules & self.apart & ~met.get(d, 0):  # these may go on beyond the stretch: once for all the rest of the text
+                met[d] = met.get(d, 0) | new
+                found[d] += [(k, a + at, b + at) for k, a, b in self.exact(texts[d][at:], new)]
         for x in found:
             x.sort(key=lambda y: (y[1], y[0]))
         return found

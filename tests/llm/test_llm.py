@@ -393,3 +393,20 @@ def test_language_of_unbroken_text(spark):
     assert language.identify(frame, model).first()["lang_pred"] == "xx"
     parts = language.runs(en[:320] + xx[:320], model)
     assert parts[0][2] == "en" and parts[-1][2] == "xx" and (parts[0][0], parts[-1][1]) == (0, 640)
+
+
+def test_private_keys_whole(spark):
+    rnd = random.Random(11)
+    line = lambda n=64: "".join(rnd.choice("ABCDEFabcdef0123456789+/") for _ in range(n))
+    body = [line() for _ in range(40)] + [line(21) + "=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    keys = [
+        "\n".join([begin, *body, end]), "\r\n".join([begin, *body, end]), "\\n".join([begin, *body, end]), " ".join([begin, *body, end]), begin + "".join(body) + end,
+        "\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C", "", *body, end]), "\n".join([begin, *body[:40]]), "-----BEGIN PRIVATE KEY-----\n" + body[0] + "\n-----END PRIVATE KEY-----",
+    ]
+    frame = spark.createDataFrame([(i, f"before é {k}\nafter, some - words") for i, k in enumerate(keys)] + [(50, f"{keys[0]}\n and the next\n{keys[5]}"), (51, f"the line {begin} opens a key")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    assert all(got[i] == "before é [SECRET]\nafter, some - words" for i in range(len(keys))), got
+    assert got[50] == "[SECRET]\n and the next\n[SECRET]" and got[51] == "the line [SECRET] opens a key"
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"] if s["kind"] == "pem"] for r in secrets.find_secrets(frame).collect()}
+    assert all(spans[i] == [("pem", 9, 9 + len(k))] for i, k in enumerate(keys))
