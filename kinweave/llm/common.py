@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The code points that separate words, for translate().
 SPACES = " \t\n\x0b\x0c\r"
+#: Blocks of a long text in a labelled sample.
+BLOCKS = 8
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -21,9 +23,11 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; an own one only where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, one process alone (master local) gets an own folder; a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or tempfile.mkdtemp(prefix="kinweave-")
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or stash("shared folder", lambda: tempfile.mkdtemp(prefix="kinweave-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,20 +48,46 @@ def crc_fold(id_col: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "left", least: int = 512, parts: int = 10_000) -> DataFrame:
+    """rows joined to table (`left` or `inner`) by one key, whatever share of the rows a key holds.
+
+    table has one row per key and names in `count` how many of rows have it, or a multiple of that. Keys with more rows than
+    `least` and than the rows' number over `parts` are fewer than least * parts / least = parts, so their rows of table are
+    broadcast and their rows in `rows` stay where they are; all others are joined by hash, where no key is large. Rows with a
+    null key match nothing. rows and table are read several times: cut them before.
+    """
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    limit = max(least, -(-int(total or 0) // parts))
+    if (most or 0) <= limit and how == "inner":
+        return rows.join(table, key).select(*rows.columns, *[c for c in table.columns if c != key])
+    hot = F.broadcast(table.where(F.col(count) > limit))
+    kept = rows.join(hot, key).select(*rows.columns, *[c for c in table.columns if c != key])
+    cold = rows.where(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti").join(table.where(F.col(count) <= limit), key, how)
+    found = kept.unionByName(cold.select(*kept.columns))
+    if how == "left":
+        found = found.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+    return found
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, rows: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """(text, label) of the labelled rows with the smallest hashes of their ids among those that `use` admits: `rows` at most, of max_bytes at most each.
+    """(text, label) of the labelled rows with the smallest hashes of their ids among those that `use` admits: `rows` documents at most, of max_bytes at most each.
 
     First ids and labels alone are sought out; then their texts, by a broadcast of these ids. So no more than rows * max_bytes
     come to the driver, whatever the tables hold. Of repeated label rows the greatest label counts, of repeated documents the
-    least text. The list is in the order of the hashes.
+    least text; null labels, ids and texts are left out. A text of over max_bytes gives BLOCKS blocks at even distances from
+    its begin to its end, joined by line feeds. The list is in the order of the hashes.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & use).select(F.xxhash64(id_col, F.lit("fit")).alias("h"), F.col(id_col).alias("i"), F.col(label).alias("y"))
-    picked = {r["i"]: (r["h"], r["y"]) for r in marks.orderBy("h", "i", "y").limit(rows).collect()}
+    picked = {r["i"]: (r["h"], r["y"]) for r in marks.groupBy("h", "i").agg(F.max("y").alias("y")).orderBy("h", "i").limit(rows).collect()}
     if not picked:
         return []
     kind = labels.select(F.col(id_col).alias("i")).schema
     ids = docs.sparkSession.createDataFrame([(i,) for i in picked], kind)
-    texts = docs.where(F.octet_length(text_col) <= max_bytes).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i")
+    size = max_bytes // (4 * BLOCKS) - 1  # a code point has four bytes at most
+    block = lambda k: F.substring("t", (1 + F.floor(k * (F.length("t") - size) / (BLOCKS - 1))).cast("int"), F.lit(size))
+    some = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), block), "\n")
+    texts = texts.withColumn("t", F.when(F.octet_length("t") <= max_bytes, F.col("t")).otherwise(some))
     found = texts.groupBy("i").agg(F.min("t").alias("t")).collect()
     return [(r["t"], picked[r["i"]][1]) for r in sorted(found, key=lambda r: picked[r["i"]][0])]
 
@@ -116,15 +146,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+#: What this process keeps between tasks, by name.
+_KEPT: dict = {}
+
+
 def release(keep: str) -> None:
-    """Gives memory of a Python worker back to the system: what other operators than that named have stashed, and freed blocks."""
+    """Gives memory of a Python worker back to the system, so that operators that follow one another don't add up: what is kept under other names than such that begin with `keep`, and freed blocks."""
     import ctypes
     import gc
-    import sys
 
-    kept = sys.__dict__.get("_kinweave_stash", {})
-    for name in [n for n in kept if not keep or not n.startswith(keep)]:
-        del kept[name]
+    for name in [n for n in _KEPT if n != "shared folder" and (not keep or not n.startswith(keep))]:
+        del _KEPT[name]
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -135,9 +167,6 @@ def release(keep: str) -> None:
 
 def stash(name: str, make: Callable):
     """What make() returned when this name was first asked for in this process; it outlives the tasks of a Python worker until release()."""
-    import sys
-
-    kept = sys.__dict__.setdefault("_kinweave_stash", {})
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]

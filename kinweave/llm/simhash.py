@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, join_by_key, map_texts
+from .graph import components
 
 SEED = 42
 #: Words of a shingle and bits that may differ, as the query contract fixes them.
@@ -92,18 +93,19 @@ def near_edges(classes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Data
     """Edges (a, b) between distinct fingerprints `fp` of `classes`; their connected components are those of all pairs within `radius` bits."""
     masks = covering_masks(radius)
     table = F.explode(F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks)]))
-    keys = classes.select("fp", table.alias("x")).select("x.t", "x.k", "fp")
-    buckets = keys.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n >= 2")
+    keys = classes.select("fp", table.alias("x")).select(F.col("x").alias("key"), "fp")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n >= 2")
     buckets = cut(buckets)
     twos = buckets.where("n = 2").where(_distance("a", "b") <= radius).select("a", "b")
-    members = keys.join(buckets.where(f"n > 2 and n <= {hot}").select("t", "k"), ["t", "k"])
-    lists = members.groupBy("t", "k").agg(F.collect_list("fp").alias("fps")).select("fps")
+    members = keys.join(buckets.where(f"n > 2 and n <= {hot}").select("key"), "key")
+    lists = members.groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     edges = twos.unionByName(lists.mapInArrow(_forests(radius), "a long, b long"))
     if buckets.where(f"n > {hot}").limit(1).count():
         second = [[signed(m | x) for x in covering_masks(radius, [i for i in range(64) if not m >> i & 1])] for m in masks]
         grid = F.array(*[F.array(*[F.lit(x) for x in row]) for row in second])
-        split = keys.join(buckets.where(f"n > {hot}").select("t", "k"), ["t", "k"]).select("t", "k", "fp", F.posexplode(F.element_at(grid, F.col("t").cast("int") + 1)).alias("u", "m"))
-        finer = split.groupBy("t", "k", "u", F.col("fp").bitwiseAND(F.col("m")).alias("k2")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+        split = join_by_key(keys, buckets.where(f"n > {hot}").select("key", "n"), "key", "n", how="inner")
+        split = split.select("key", "fp", F.posexplode(F.element_at(grid, F.col("key.t").cast("int") + 1)).alias("u", "m"))
+        finer = split.groupBy("key", "u", F.col("fp").bitwiseAND(F.col("m")).alias("k2")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
         edges = edges.unionByName(finer.mapInArrow(_forests(radius), "a long, b long"))
     return edges.distinct()
 
@@ -112,30 +114,6 @@ def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b); root is the least node of its component.
-
-    Alternating large and small stars (Kiveris et al., "Connected components in MapReduce and beyond", 2014), cut after each round.
-    """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = _digest(now)
-    while seen[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        if (digest := _digest(now)) == seen:
-            break
-        seen = digest
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """One row per row of docs: id, `fp` (signed 64-bit fingerprint), `component_id`.
 
@@ -146,12 +124,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     score = lambda texts: {"fp": pa.array([signed(fingerprint(t, width)) for t in texts], pa.int64())}
     prints = cut(map_texts(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")), ["_id"], "t", "fp long", score))
-    classes = cut(prints.where("_id is not null").groupBy("fp").agg(F.min("_id").alias("rep")))
-    roots = components(near_edges(classes, radius, hot)).withColumnRenamed("node", "fp")
-    linked = classes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = linked.join(named, "root").select("fp", "component_id")
-    return prints.join(found, "fp", "left").select(F.col("_id").alias(id_col), "fp", F.when(F.col("_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    classes = cut(prints.where("_id is not null").groupBy("fp").agg(F.min("_id").alias("rep"), F.count("*").alias("rows")))
+    # A class goes by its least id, so that a component's root is its least id. A fingerprint has a bounded number of others near it.
+    edges = near_edges(classes, radius, hot)
+    for end in ("a", "b"):
+        edges = edges.join(classes.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}")), end)
+    roots = components(edges.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).withColumnRenamed("node", "rep")
+    named = cut(classes.join(roots, "rep", "left").select(F.col("fp").alias("key"), "rows", F.coalesce("root", "rep").alias("component_id")))
+    found = join_by_key(prints.withColumn("key", F.when(F.col("_id").isNotNull(), F.col("fp"))), named, "key", "rows")
+    return found.select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
