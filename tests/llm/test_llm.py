@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kinweave.llm import audio, common, compression, language, mixing, packing, rules, secrets, simhash, tokens, toxicity, urls
+from kinweave.llm import audio, common, compression, graph, language, mixing, packing, rules, secrets, simhash, tokens, toxicity, urls
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 LONG = " ".join(random.Random(5).choice(WORDS) for _ in range(40_000))
@@ -72,7 +72,7 @@ def test_dense_groups_split_and_whole(spark, hot):
     values = {centre ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randint(0, 3))) for _ in range(120)} | {rnd.getrandbits(64) for _ in range(60)}
     values = sorted(simhash.signed(v % (1 << 64)) for v in values)
     classes = spark.createDataFrame([(v,) for v in values], "fp long")
-    got = {r["node"]: r["root"] for r in simhash.components(simhash.near_edges(classes, hot=hot)).collect()}
+    got = {r["node"]: r["root"] for r in graph.components(simhash.near_edges(classes, hot=hot)).collect()}
     root = {v: v for v in values}
     changed = True
     while changed:
@@ -351,36 +351,93 @@ def tones(seed, seconds=4):
     return np.clip(np.concatenate(parts) * 25 + 128, 0, 255).astype(np.uint8)
 
 
+def media(spark, rows):
+    return spark.createDataFrame([(i, None if x is None else bytearray(bytes(x))) for i, x in rows], "id long, data binary")
+
+
+def brute_links(found):
+    """Pairs of recordings (id, codes) that align under some offset, all offsets tried."""
+    out = set()
+    for x, (i, a) in enumerate(found):
+        for j, b in found[:x]:
+            if any(audio.stretch(b, a, o) for o in range(1 - len(a), len(b))):
+                out.add((max(i, j), min(i, j)))
+    return out
+
+
 def test_fingerprints_of_recordings(spark, docs):
     assert len(set(audio.FILTERS)) == 16
-    rng = np.random.default_rng(2)
-    songs = [tones(i) for i in range(12)]
-    shifted = [s[audio.HOP * 40 : audio.HOP * 300] for s in songs]
-    noisy = [np.clip(s + rng.normal(0, 2, len(s)), 0, 255).astype(np.uint8) for s in shifted]
-    rows = [(i, bytearray(s.tobytes())) for i, s in enumerate(songs)] + [(100 + i, bytearray(s.tobytes())) for i, s in enumerate(shifted)] + [(200 + i, bytearray(s.tobytes())) for i, s in enumerate(noisy)]
-    rows += [(300, bytearray(songs[3].tobytes())), (301, None), (302, bytearray()), (None, bytearray(songs[0].tobytes()))]
-    media = spark.createDataFrame(rows, "id long, data binary")
-    got = {r["id"]: r for r in audio.align_recordings(media, "id", "data").collect()}
-    assert len(got) == len(rows) and got[300]["class_id"] == 3 and got[301]["class_id"] == got[302]["class_id"] == 301 and got[None]["class_id"] is None
-    assert all(got[100 + i]["aligned_to"] == i and got[100 + i]["offset"] == 40 and got[100 + i]["bit_error"] == 0 for i in range(12))
-    found = sum(got[200 + i]["aligned_to"] in (i, 100 + i) and got[200 + i]["bit_error"] < 0.25 for i in range(12))
-    assert found >= 11  # brute force over all pairs finds each; recall of 0.9 at least
-    a, b = (audio.codes(x.tobytes()) for x in (songs[5], noisy[5]))
-    errors = {o: np.bitwise_count(a[o : o + len(b)] ^ b[: len(a) - o]).mean() for o in range(len(a) - len(b) + 1)}
-    assert audio.align(a, b)[0] == min(errors, key=errors.get) == 40
-    assert audio.align_recordings(docs, "doc_id", "text").count() == docs.count() and audio.align_recordings(docs.limit(0), "doc_id", "text").count() == 0
-
-
-def test_a_common_head_hides_no_partner(spark):
+    song = tones(3)
+    rows = [(1, tones(1)), (3, song), (4, song), (5, None), (6, b""), (None, song), (7, song[:200]), (7, song[:200]), (8, np.full(4000, 128, np.uint8)), (9, song[128 * 30 :])]
+    got = {}
+    for r in audio.align_recordings(media(spark, rows), "id", "data").collect():
+        got.setdefault(r["id"], []).append(r)
+    assert sum(map(len, got.values())) == len(rows) and len(got[7]) == 2
+    assert got[4][0]["class_id"] == got[3][0]["class_id"] == 3 and got[8][0]["class_id"] == 8 and got[7][0]["class_id"] == 7
+    assert got[None][0]["class_id"] is None and got[None][0]["fingerprint"] == got[3][0]["fingerprint"]
+    assert all(got[i][0]["n_frames"] == 0 and got[i][0]["class_id"] is None and got[i][0]["fingerprint"] is None for i in (5, 6))
+    assert (got[9][0]["aligned_to"], got[9][0]["offset"], got[9][0]["bit_error"], got[9][0]["n_links"]) == (3, 30, 0.0, 1)
+    assert (got[3][0]["aligned_to"], got[3][0]["offset"]) == (9, -30) and got[1][0]["aligned_to"] is None
+    assert audio.align_recordings(docs, "doc_id", "text", audio.TEXT).count() == docs.count() and audio.align_recordings(docs.limit(0), "doc_id", "text").count() == 0
+    stereo = np.repeat((song.astype(np.int16) - 128) * 256, 2).astype("<i2").tobytes() + b"x"
+    assert (audio.codes(stereo, audio.Format(width=2, channels=2)) == audio.codes(song.tobytes())).all()
+
+
+def test_chroma_against_direct_sums():
+    image = audio.chroma(audio.Format().samples(tones(5).tobytes()))
+    half, quarter = audio.SPAN // 2, audio.SPAN // 4
+    for t, code in list(enumerate(audio.codes(tones(5).tobytes())))[::37]:
+        for i, (kind, y, height) in enumerate(audio.FILTERS):
+            block = image[t : t + audio.SPAN, y : y + height].astype(float)
+            up, down, early, late = block[:, : height // 2], block[:, height // 2 :], slice(0, half), slice(half, None)
+            a = (up.sum(), block[early].sum(), up[early].sum() + down[late].sum(), block[quarter : quarter + half].sum())[kind]
+            level = sum(np.log((a + audio.FLOOR * height) / (block.sum() - a + audio.FLOOR * height)) >= x for x in audio.LEVELS)
+            assert code >> np.uint32(2 * i) & 3 == (0, 1, 3, 2)[level]
+
+
+@pytest.mark.parametrize(("off", "noise"), [(0, 0), (0.5, 0), (0, 2), (0.5, 2), (None, 2)])
+def test_recall_of_excerpts(spark, off, noise):
+    rng, at, rows = np.random.default_rng(int(noise + 10 * (off or 0.3))), {}, [(i, tones(i)) for i in range(100)]
+    for i, song in rows[:]:
+        at[i] = int(rng.integers(0, 16000)) if off is None else int((rng.integers(10, 120) + off) * audio.HOP)
+        part = song[at[i] : at[i] + 16000]
+        rows.append((1000 + i, np.clip(part + rng.normal(0, noise, len(part)), 0, 255).astype(np.uint8)))
+    got = {r["id"]: r for r in audio.align_recordings(media(spark, rows), "id", "data").collect()}
+    assert sum(got[1000 + i]["aligned_to"] == i and abs(got[1000 + i]["offset"] - at[i] / audio.HOP) <= 1 for i in at) >= 97
+
+
+def test_offsets_count_all_places(monkeypatch):
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 4, 300).astype(np.uint32), rng.integers(0, 5, 90).astype(np.uint32)
+    want = [int((a[max(0, o) : o + 90][: 90 + min(0, o)] == b[max(0, -o) : 300 - o]).sum()) for o in range(-89, 300)]
+    assert audio.offsets_of(a, b).tolist() == want
+    monkeypatch.setattr(audio, "LISTED", 100)
+    assert audio.offsets_of(a, b).tolist() == want
+
+
+@pytest.mark.parametrize("few", [1000, audio.FEW, 3])
+def test_a_common_head_hides_no_partner(spark, few, monkeypatch):
+    monkeypatch.setattr(audio, "candidates", lambda table, plain=audio.candidates: plain(table, few))
     jingle, songs = tones(900, 2), [tones(901 + i, 2) for i in range(12)]
-    rows = [(0, jingle)] + [(1 + i, np.concatenate([jingle, s])) for i, s in enumerate(songs)] + [(101 + i, np.concatenate([jingle, s])[: -audio.HOP * 20]) for i, s in enumerate(songs)]
+    rows = [(0, jingle)] + [(1 + i, np.concatenate([jingle, s])) for i, s in enumerate(songs)] + [(101 + i, np.concatenate([jingle, s])[50 * i : -audio.HOP * 20]) for i, s in enumerate(songs)]
+    rows += [(200 + i, tones(970 + i, 2)) for i in range(5)]
     rows += [(300, np.concatenate([songs[0], tones(950, 1), songs[1]]))]  # holds parts of two others
-    media = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in rows], "id long, data binary")
-    got = {r["id"]: r for r in audio.align_recordings(media, "id", "data").collect()}
-    linked = {i: {x["head"] for x in r["links"] or []} for i, r in got.items()}
-    assert sum(1 + i in linked[101 + i] for i in range(12)) >= 11  # all hold the jingle, whose id is the least
-    assert {1, 2} <= linked[300]
-    assert all(r["links"] is None or r["links"][0]["head"] == r["aligned_to"] for r in got.values())
+    found = [(i, audio.codes(x.tobytes())) for i, x in rows]
+    classes = spark.createDataFrame([(i, bytearray(c.astype("<u4").tobytes())) for i, c in found], "rep long, codes binary")
+    links = {(r["rep"], r["head"]): r for r in audio.alignments(classes).collect()}
+    want = brute_links(found)
+    assert links.keys() <= want
+    if few == 1000:
+        assert len(links) >= 0.9 * len(want)
+    groups = {r["id"]: r["group_id"] for r in audio.align_recordings(media(spark, rows), "id", "data").collect()}
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    assert groups == root
+    assert sum((101 + i, 1 + i) in links for i in range(12)) >= 11  # all hold the jingle, whose id is the least
+    assert {(300, 1), (300, 2)} <= links.keys()
+    assert links[300, 2]["overlap"] > 0.8 * len(audio.codes(songs[1].tobytes()))
 
 
 def test_language_of_unbroken_text(spark):
