@@ -16,7 +16,7 @@ def skeleton_of(word: str) -> str:
     if any(c.isalpha() for c in word):
         word = word.translate(str.maketrans("0153", "olse"))
     for a, b in vocab.SOUNDS:
-        word = word.replace(a, b)
+        word = re.sub(a, b, word)
     return re.sub(r"(.)\1+", r"\1", word[:1] + re.sub("[aeouy]", "", word[1:]))
 
 
@@ -130,14 +130,16 @@ def address_old(raw: Column | str) -> Column:
     text = F.regexp_replace(fold_latin(raw), r"\b([0-9]{5})-[0-9]{4}\b", "$1")
     parts = F.transform(F.filter(F.split(text, r"[,;()\n]"), lambda c: F.trim(c) != ""), basic_clean)
     landmark = lambda c: c.rlike(rf"^\s*({'|'.join(vocab.LANDMARKS_OLD)})\b")
-    names = dict(x.split(":") for x in f"{vocab.US_STATES},{vocab.INDIAN_STATES_OLD}".split(","))
+    names = vocab.US_STATES | vocab.INDIAN_STATES_OLD
+    any_name = rf"\b({'|'.join(names)})\b"
     drop = is_in(vocab.ADDRESS_DROP_OLD)
 
     def canon(c: Column) -> Column:
         t = F.regexp_replace(F.regexp_replace(c, r"\b([0-9]{3})\s([0-9]{3})\b", "$1$2"), r"\b([0-9]+)(st|nd|rd|th|er|ere|e|eme)\b", "$1")
+        short = t
         for name in sorted(names, key=lambda n: (-len(n), n)):
-            t = F.regexp_replace(t, rf"\b{name}\b", names[name])
-        words = F.filter(F.transform(tokens(t), lambda w: lookup(vocab.ORDINALS_OLD, w)), lambda w: ~drop(w))
+            short = F.regexp_replace(short, rf"\b{name}\b", names[name])
+        words = F.filter(F.transform(tokens(F.when(t.rlike(any_name), short).otherwise(t)), lambda w: lookup(vocab.ORDINALS_OLD, w)), lambda w: ~drop(w))
         both = F.transform(words, lambda w: F.when(w.rlike("^([0-9]+[a-z]{1,2}|[a-z]{1,2}[0-9]+)$"), F.regexp_extract_all(w, F.lit("[a-z]+|[0-9]+"), F.lit(0))).otherwise(F.array(lookup(vocab.ADDRESS_WORDS_OLD, w))))
         return F.flatten(both)
 

@@ -136,7 +136,7 @@ def skeleton(word: Column | str) -> Column:
     """Sound-alike key of a word: confusable digits as letters, sounds made alike, later vowels dropped, repeated letters made one."""
     w = col(word)
     w = F.when(w.rlike(r"\p{L}"), F.translate(w, "0153", "olse")).otherwise(w)
-    w = replace_all(w, vocab.SOUNDS)
+    w = reduce(lambda t, p: F.regexp_replace(t, *p) if "(" in p[0] else F.replace(t, F.lit(p[0]), F.lit(p[1])), vocab.SOUNDS, w)
     return F.regexp_replace(F.regexp_replace(w, "(?<=.)[aeouy]", ""), r"(.)\1+", "$1")
 
 

@@ -40,12 +40,11 @@ def pair_features(pairs: DataFrame) -> DataFrame:
     """The 76 features of attached pairs with keymask, quick scores and candidate context; one Arrow pass for the string measures, all else in the JVM."""
     an, bn, a2, b2 = text("a_nm_core"), text("b_nm_core"), text("a_nm_core2"), text("b_nm_core2")
     aw, bw = text("a_ad_words"), text("b_ad_words")
-    none = lambda c: F.when(F.size(c) > 0, text(c)).otherwise(F.lit("\x00"))
     wanted = {
         "n_ratio": ("indel", an, bn), "n_tset": ("token_set", an, bn), "n_tsort": ("token_sort", an, bn), "n_partial": ("partial", an, bn),
         "n2_tset": ("token_set", a2, b2), "n2_tsort": ("token_sort", a2, b2), "n_full_ratio": ("indel", text("a_nm_full"), text("b_nm_full")),
         "n_jw_nospace": ("jaro_winkler", F.col("a_nm_nospace"), F.col("b_nm_nospace")), "n_skel_ratio": ("indel", text("a_nm_skel"), text("b_nm_skel")), "n_skel_tset": ("token_set", text("a_nm_skel"), text("b_nm_skel")),
-        "alias1": ("token_set", none("a_nm_alias"), bn), "alias2": ("token_set", an, none("b_nm_alias")), "a_tset": ("token_set", aw, bw),
+        "alias1": ("token_set", text("a_nm_alias"), bn), "alias2": ("token_set", an, text("b_nm_alias")), "a_tset": ("token_set", aw, bw),
         "a_ratio_sorted": ("indel", text("a_ad_wset"), text("b_ad_wset")), "a_partial": ("partial", aw, bw), "street_tset": ("token_set", text("a_ad_street"), text("b_ad_street")),
     }
     s = pairs.withColumn("_s", sim.measures(wanted))

@@ -131,8 +131,8 @@ def isotonic_calibrated(spark, sf_dir):
 @query("auc")
 def auc(spark, sf_dir):
     d = linkage.staged(labelled(spark, sf_dir))
-    model = models.fit(d, ["symbols", "upper", "spaces"], trees=5, depth=3, leaf=5)
-    return rounded(spark.createDataFrame([(models.auc(models.score(model, d), "p1"), d.count())], "auc double, n long"))
+    scored, _ = models.out_of_fold(d, ["symbols", "upper", "spaces"], folds=3, out="p1")
+    return rounded(spark.createDataFrame([(models.auc(linkage.staged(scored), "p1"), d.count())], "auc double, n long"))
 
 
 @query("feature_importance")
@@ -145,7 +145,7 @@ def feature_importance(spark, sf_dir):
 @query("country_transfer")
 def country_transfer(spark, sf_dir):
     d = linkage.staged(labelled(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i1"), "lang"), "i1"))
-    langs = [r["lang"] for r in d.groupBy("lang").agg(F.countDistinct("y").alias("k")).where("k = 2 and lang is not null").orderBy("lang").limit(100).collect()]
+    langs = [r["lang"] for r in d.groupBy("lang").agg(F.countDistinct("y").alias("k")).where("k = 2 and lang is not null").orderBy("lang").collect()]
     found = models.leave_one_out(d, ["symbols", "upper", "spaces"], "lang", langs, trees=5, depth=3, leaf=5)
     return rounded(spark.createDataFrame(sorted(found.items()), "lang string, auc double"))
 

@@ -115,30 +115,30 @@ KEY_BASE = f"""{REC}, base AS (SELECT side, doc_id AS rid, country, state, num1,
   places AS (SELECT rid, num1, unnest(list_filter(wset, lambda w: length(w) >= 4 AND w NOT IN ({in_list(vocab.STREET_TYPES)}) AND w[1] <> '_')) AS w FROM full_)"""
 
 BODIES = {
-    "n_key": "SELECT rid, 'k' || array_to_string(d, ' ') AS body FROM names WHERE len(d) > 0",
-    "n_skel": "SELECT rid, 's' || k AS body FROM (SELECT rid, c, string_agg(DISTINCT s, ' ' ORDER BY s) AS k FROM (SELECT rid, c, unnest(d) AS w FROM names) JOIN sk USING (w) GROUP BY rid, c) WHERE length(k) >= 3",
-    "n_nospace": "SELECT rid, 'j' || array_to_string(c, '') AS body FROM names WHERE length(array_to_string(c, '')) >= 6",
-    "n_rare2": "SELECT rid, 'r' || array_to_string(list_sort(r), ' ') AS body FROM names WHERE len(r) = 2",
-    "n_rare1_num": "SELECT rid, 'q' || r[1] || '|' || num1 AS body FROM names WHERE len(r) > 0",
-    "a_num_w1": "SELECT rid, 'a' || num1 || '|' || rare_addr[1] AS body FROM full_ WHERE len(rare_addr) > 0",
-    "a_num_w2": "SELECT rid, 'b' || num1 || '|' || rare_addr[2] AS body FROM full_ WHERE len(rare_addr) > 1",
-    "a_w1w2": "SELECT rid, 'v' || array_to_string(list_sort(rare_addr), ' ') AS body FROM full_ WHERE len(rare_addr) > 1",
-    "a_w1w2_n": "SELECT rid, 'w' || array_to_string(list_sort(rare_addr), ' ') || '|' || rare[1] AS body FROM full_ WHERE len(rare_addr) > 1 AND len(rare) > 0",
-    "n_tok": "SELECT rid, 't' || unnest(i) AS body FROM inf",
-    "n_tok_skel": "SELECT rid, 'u' || s AS body FROM (SELECT rid, unnest(i) AS w FROM inf) JOIN sk USING (w) WHERE length(s) >= 3",
-    "a_tok": "SELECT rid, 'x' || w AS body FROM places",
-    "a_street": "SELECT rid, 'y' || state || '|' || array_to_string(street, ' ') AS body FROM full_ WHERE len(street) > 0",
-    "a_street_num": "SELECT rid, 'z' || state || '|' || array_to_string(street, ' ') || '|' || num1 AS body FROM full_ WHERE len(street) > 0",
-    "n_tokpair": "SELECT a.rid, 'p' || a.w || ' ' || b.w AS body FROM six a JOIN six b ON a.n = b.n AND a.k < b.k",
-    "a_tok_num": "SELECT rid, 'o' || num1 || '|' || w AS body FROM places",
+    "n_key": "SELECT rid, array_to_string(d, ' ') AS body FROM names WHERE len(d) > 0",
+    "n_skel": "SELECT rid, k AS body FROM (SELECT rid, c, string_agg(DISTINCT s, ' ' ORDER BY s) AS k FROM (SELECT rid, c, unnest(d) AS w FROM names) JOIN sk USING (w) GROUP BY rid, c) WHERE length(k) >= 3",
+    "n_nospace": "SELECT rid, array_to_string(c, '') AS body FROM names WHERE length(array_to_string(c, '')) >= 6",
+    "n_rare2": "SELECT rid, array_to_string(list_sort(r), ' ') AS body FROM names WHERE len(r) = 2",
+    "n_rare1_num": "SELECT rid, r[1] || '/' || num1 AS body FROM names WHERE len(r) > 0",
+    "a_num_w1": "SELECT rid, num1 || '/' || rare_addr[1] AS body FROM full_ WHERE len(rare_addr) > 0",
+    "a_num_w2": "SELECT rid, num1 || '/' || rare_addr[2] AS body FROM full_ WHERE len(rare_addr) > 1",
+    "a_w1w2": "SELECT rid, array_to_string(list_sort(rare_addr), ' ') AS body FROM full_ WHERE len(rare_addr) > 1",
+    "a_w1w2_n": "SELECT rid, array_to_string(list_sort(rare_addr), ' ') || '/' || rare[1] AS body FROM full_ WHERE len(rare_addr) > 1 AND len(rare) > 0",
+    "n_tok": "SELECT rid, unnest(i) AS body FROM inf",
+    "n_tok_skel": "SELECT rid, s AS body FROM (SELECT rid, unnest(i) AS w FROM inf) JOIN sk USING (w) WHERE length(s) >= 3",
+    "a_tok": "SELECT rid, w AS body FROM places",
+    "a_street": "SELECT rid, state || '/' || array_to_string(street, ' ') AS body FROM full_ WHERE len(street) > 0",
+    "a_street_num": "SELECT rid, state || '/' || array_to_string(street, ' ') || '/' || num1 AS body FROM full_ WHERE len(street) > 0",
+    "n_tokpair": "SELECT a.rid, a.w || ' ' || b.w AS body FROM six a JOIN six b ON a.n = b.n AND a.k < b.k",
+    "a_tok_num": "SELECT rid, num1 || '/' || w AS body FROM places",
 }
 SIX = "numbered AS (SELECT rid, i[1:6] AS i, row_number() OVER () AS n FROM inf), six AS (SELECT rid, n, unnest(i) AS w, generate_subscripts(i, 1) AS k FROM numbered)"
 
 
 def scoped(bodies: str, kind: str) -> str:
     """Keys of a kind in SQL, scoped as keys_of() does."""
-    return f"""SELECT DISTINCT side, '{kind}' AS kind, md5(scope || country || '|' || body) AS key, rid FROM ({bodies}) JOIN base USING (rid)
-    JOIN (SELECT rid AS r2, state || '#' AS scope FROM base WHERE state <> '' UNION ALL SELECT rid, '@' FROM base WHERE side = 's1' OR state = '') ON r2 = rid"""
+    return f"""SELECT DISTINCT side, '{kind}' AS kind, md5(country || '/' || scope || '/' || body) AS key, rid FROM ({bodies}) JOIN base USING (rid)
+    JOIN (SELECT rid AS r2, state AS scope FROM base WHERE state <> '' UNION ALL SELECT rid, '' FROM base WHERE side = 's1' OR state = '') ON r2 = rid"""
 
 
 def _register_kind(kind: str) -> None:

@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by checkpoint(), in spark.checkpoint.dir; in a folder of its own only where that is unset."""
+    """df with its lineage cut by checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinweave-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+@lru_cache(1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="kinweave-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder of its own for one process alone (master local), and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or _own_folder()

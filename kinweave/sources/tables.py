@@ -90,6 +90,12 @@ def write_report(report: dict, spark: SparkSession, path: str) -> None:
     spark.createDataFrame([(json.dumps(report, indent=2, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, through Spark's file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def region_slice(source: DataFrame, truth: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
     """Records whose address matches a pattern, and the truth of the kept clean records."""
     kept = source.where(F.col("business_address").rlike(pattern))

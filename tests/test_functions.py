@@ -53,14 +53,14 @@ def test_best_size_against_enumeration():
 
 
 def test_transliteration_and_segments():
-    assert text.fold("सिल्वर लिमिटेड") == "silvar limited"
-    assert text.fold("Café Ångström ß") == "cafe angstrom ss" and text.fold(None) == ""
-    assert text.segment("empiremolecular", {"empire": -5.0, "molecular": -6.0}) == ["empire", "molecular"]
-    assert "".join(text.segment("xyzempire", {"empire": -5.0})) == "xyzempire" and text.segment("", {}) == []
+    assert text.fold("कमल") == "kamal"
+    assert text.fold("Crème Ångelö ß") == "creme angelo ss" and text.fold(None) == ""
+    assert text.segment("copperlantern", {"copper": -5.0, "lantern": -6.0}) == ["copper", "lantern"]
+    assert "".join(text.segment("xyzcopper", {"copper": -5.0})) == "xyzcopper" and text.segment("", {}) == []
 
 
 def test_fold_column_equals_function(spark):
-    rows = ["Café", "सिल्वर", None, "", "ﬁn ½", "ÀÉÎÕÜ—ø"]
+    rows = ["Café", "कमल", None, "", "ﬁn ½", "ÀÉÎÕÜ—ø"]
     df = spark.createDataFrame([(r,) for r in rows], "t string")
     assert [r[0] for r in df.select(text.fold_text("t")).collect()] == [text.fold(r) for r in rows]
 
@@ -76,11 +76,11 @@ def test_names(spark):
 
 def test_addresses(spark):
     cases = {
-        "MEADVIEW DR, INDEPENDENCE, OH": ("meadview dr independence", "", "oh"),
-        "6148 Meadview Drive, Seven Hills, OH": ("meadview dr seven hills", "6148", "oh"),
-        "Ohio, 175 Amherst Mobile Homes, Amherts CITY": ("amherst mobile homes amherts", "175", "oh"),
-        "C/O Joel James, Malayinkeezhu, Kerala": ("joel james malayinkeezhu", "", "kl"),
-        "Flat 12, 011265 Main St": ("main st", "11265", ""),
+        "LARKSPUR CT, DUNMORE, TX": ("larkspur ct dunmore", "", "tx"),
+        "2207 Larkspur Court, Old Mills, TX": ("larkspur ct old mills", "2207", "tx"),
+        "Texas, 84 Quarry Trailer Homes, Dunmor CITY": ("quarry trailer homes dunmor", "84", "tx"),
+        "C/O Mira Paul, Thazhevettom, Kerala": ("mira paul thazhevettom", "", "kl"),
+        "Flat 12, 004410 Main St": ("main st", "4410", ""),
         "": ("", "", ""),
     }
     df = spark.createDataFrame([(c,) for c in cases], "t string").select("t", address.address_parts(text.fold_latin("t")).alias("p")).select("t", F.array_join("p.words", " ").alias("w"), "p.num1", "p.state")
@@ -88,10 +88,10 @@ def test_addresses(spark):
 
 
 def test_skeletons(spark):
-    words = ["foundation", "phaundeshan", "a", "", "zzz", "qu33n", "0153", "xylophone"]
+    words = ["function", "phunctshun", "a", "", "zzz", "qu33n", "0153", "xylophone", "chccche", "bacch"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r[0] for r in df.select(text.skeleton("w")).collect()]
-    assert got == [address.skeleton_of(w) for w in words] and got[0] == got[1] == "fndsn"
+    assert got == [address.skeleton_of(w) for w in words] and got[0] == "fnksn" and got[-2:] == ["ckc", "bkc"]
 
 
 def test_vocabulary_order():
