@@ -9,11 +9,16 @@ count, least and greatest of each bucket (map-side combine, so a hot bucket shuf
 compared in place; the members of larger ones are gathered as bounded lists, and each list gives a spanning forest of its
 near pairs, never all pairs. A bucket over `hot` members is split by a second set of covering masks over the bits that its
 table left out: what shares both masks differs in at most about 18 bits, which bounds the lists at any size.
+
+Four of 64 bits find near copies only. similar_documents() links by an estimated Jaccard similarity (0.8 of sets of five-word
+shingles by default): fingerprints of 512 bits, whose differing share tells the angle between two sets, hence the similarity;
+candidates by covering masks over six parts of the first half, so that pairs of up to 23 differing bits there always meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +34,54 @@ SEED = 42
 SHINGLE, RADIUS = 4, 4
 #: Members of a bucket that one row may gather; larger buckets are split first.
 HOT = 16384
+#: Of wide fingerprints: bits, words of a shingle, and the Jaccard similarity that links.
+BITS, WIDTH, SIMILARITY = 512, 5, 0.8
+#: Parts of the first half, and the radius that the masks cover in each.
+PARTS, PART_RADIUS = 6, 3
+#: As HOT, for wide fingerprints; how often a larger bucket is split, into how many splits, by how many bytes of the second half each.
+WIDE_HOT, TURNS, SPLITS, SPLIT_BYTES = 2048, 4, 2, 2
+#: Large buckets up to whose number their keys (16 bytes each) are broadcast.
+BROADCAST = 200_000
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """Unsigned 64-bit fingerprint: a bit is 1 if set in over half of the hashes of the shingles, repeats included.
-
-    A-Z are lower-cased. Fewer than `width` words make one shingle; no word (or null) makes fingerprint zero.
-    """
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of the shingles of `width` words, space-joined, repeats included; A-Z are lower-cased. Fewer words make one shingle, no word (or null) none."""
     words = (text or "").encode().lower().split()  # bytes.split() knows exactly the six ASCII white spaces
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts, stops = np.concatenate([[0], ends[:-1] + 1]).tolist(), ends.tolist()[min(width, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)], dtype=np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The 64 bits, the lowest first, that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return ones * 2 > len(hashes)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """Unsigned 64-bit fingerprint: a bit is 1 if set in over half of the hashes of the shingles, repeats included; zero without a word."""
+    return int(np.packbits(majority(shingle_hashes(text, width)), bitorder="little").view("<u8")[0])
+
+
+def wide_fingerprint(text: str | None, width: int) -> bytes:
+    """BITS bits like fingerprint()'s, over the set of shingles; each 64 bits mix the hashes in another way."""
+    hashes, out = np.unique(shingle_hashes(text, width)), []
+    for k in range(BITS // 64):
+        mixed = (hashes + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) if k else hashes
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(majority(mixed ^ (mixed >> np.uint64(27))))
+    return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Bits that fingerprints of sets with this Jaccard similarity differ in, and a standard deviation more, so that five in six of such pairs are within."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
 def signed(x: int) -> int:
@@ -114,6 +149,89 @@ def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def wide_forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """As forest(), of rows of 64-bit words; edges are places."""
+    rest, edges = np.arange(len(values)), []
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            near = np.bitwise_count(values[rest] ^ values[x]).sum(axis=1, dtype=np.int64) <= radius
+            if near.any():
+                found = rest[near]
+                edges += [(int(x), int(y)) for y in found]
+                queue += found.tolist()
+                rest = rest[~near]
+    return edges
+
+
+def _part_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, key) of (rep, fp): a key for each table, with the table's number in the upper bits."""
+    size = BITS // 2 // PARTS
+    masks = np.array(covering_masks(PART_RADIUS, range(size)), np.uint64)
+    for batch in batches:
+        bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
+        parts = bits[:, : size * PARTS].reshape(len(bits), PARTS, size).astype(np.uint64) @ (np.uint64(1) << np.arange(size, dtype=np.uint64))
+        table = np.arange(PARTS * len(masks), dtype=np.uint64).reshape(PARTS, -1) << np.uint64(size)
+        found = parts[:, :, None] & masks | table
+        rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(bits)), PARTS * len(masks))))
+        yield pa.RecordBatch.from_arrays([rep, pa.array(found.reshape(-1).view(np.int64))], names=["rep", "key"])
+
+
+def _wide_forests(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            flat, offsets = lists.values, np.asarray(lists.offsets)
+            rep, data = flat.field("rep"), flat.field("fp")
+            a: list[int] = []
+            b: list[int] = []
+            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                values = np.frombuffer(b"".join(data.slice(lo, hi - lo).to_pylist()), "<u8").reshape(-1, BITS // 64)
+                for x, y in wide_forest(values, radius):
+                    a.append(lo + x)
+                    b.append(lo + y)
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(a, pa.int64())), rep.take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+    return run
+
+
+def similar_edges(classes: DataFrame, similarity: float = SIMILARITY, hot: int = WIDE_HOT) -> DataFrame:
+    """Edges (a, b) between ids `rep` of classes (rep, fp) with wide fingerprints within radius_of(similarity) bits: of each bucket a spanning forest.
+
+    A bucket over `hot` is split by further bits of its members, TURNS times; what is still larger gives a star around its
+    least id, of those within the radius.
+    """
+    kind, radius = dict(classes.dtypes)["rep"], radius_of(similarity, BITS)
+    keys = classes.select("rep", "fp").mapInArrow(_part_keys, f"rep {kind}, key long")
+    prints, edges = classes.select("rep", "fp"), []
+    for turn in range(TURNS + 1):
+        sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        members = keys.join(sizes.where(f"n <= {hot}").select("key"), "key")
+        members = members if "fp" in keys.columns else members.join(prints, "rep")
+        lists = members.groupBy("key").agg(F.collect_list(F.struct("rep", "fp")).alias("all")).select("all")
+        edges.append(lists.mapInArrow(_wide_forests(radius), f"a {kind}, b {kind}"))
+        large = sizes.where(f"n > {hot}")
+        n_large = large.count()
+        if not n_large:
+            break
+        held = keys.join(F.broadcast(large), "key").drop("n") if n_large <= BROADCAST else join_by_key(cut(keys), large, "key", "n", how="inner").drop("n")
+        held = cut(held if "fp" in keys.columns else held.join(prints, "rep"))
+        if turn < TURNS:
+            at = [1 + BITS // 16 + (turn * SPLITS + i) * SPLIT_BYTES for i in range(SPLITS)]
+            keys = held.select("rep", "fp", F.explode(F.array(*[F.xxhash64("key", F.lit(i), F.substring("fp", i, SPLIT_BYTES)) for i in at])).alias("key"))
+        else:
+            heads = cut(held.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("least"), F.count("*").alias("n")))
+            star = join_by_key(held, heads, "key", "n", how="inner").where("least.rep <> rep")
+            words = [F.conv(F.hex(F.substring(c, 1 + 4 * i, 4)), 16, 10).cast("long") for i in range(BITS // 32) for c in ("fp", "least.fp")]
+            differing = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(words[::2], words[1::2], strict=True)), F.lit(0))
+            edges.append(star.where(differing <= radius).select(F.col("rep").alias("a"), F.col("least.rep").alias("b")))
+    found = edges[0]
+    for more in edges[1:]:
+        found = found.unionByName(more)
+    return found.distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """One row per row of docs: id, `fp` (signed 64-bit fingerprint), `component_id`.
 
@@ -124,23 +242,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     score = lambda texts: {"fp": pa.array([signed(fingerprint(t, width)) for t in texts], pa.int64())}
     prints = cut(map_texts(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")), ["_id"], "t", "fp long", score))
+
+    def edges(classes: DataFrame) -> DataFrame:  # a class goes by its least id; a fingerprint has a bounded number of others near it
+        found = near_edges(classes, radius, hot)
+        for end in ("a", "b"):
+            found = found.join(classes.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}")), end)
+        return found.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+    return _grouped(prints, edges).withColumnRenamed("_id", id_col)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, hot: int = WIDE_HOT) -> DataFrame:
+    """One row per row of docs: id, `fp` (wide fingerprint, binary), `component_id`: the least id reachable over links of texts whose sets of shingles are estimated to be as similar, the own one included.
+
+    Null and empty texts are alike. Null ids, repeated rows, empty tables and further columns are as in near_duplicates().
+    """
+    score = lambda texts: {"fp": pa.array([wide_fingerprint(t, width) for t in texts], pa.binary())}
+    prints = cut(map_texts(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")), ["_id"], "t", "fp binary", score))
+    return _grouped(prints, lambda classes: similar_edges(classes, similarity, hot)).withColumnRenamed("_id", id_col)
+
+
+def _grouped(prints: DataFrame, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(_id, fp, component_id) of (_id, fp); edges: of classes (fp, rep: the least id, rows) those between their reps, so that a component's root is its least id."""
     classes = cut(prints.where("_id is not null").groupBy("fp").agg(F.min("_id").alias("rep"), F.count("*").alias("rows")))
-    # A class goes by its least id, so that a component's root is its least id. A fingerprint has a bounded number of others near it.
-    edges = near_edges(classes, radius, hot)
-    for end in ("a", "b"):
-        edges = edges.join(classes.select(F.col("fp").alias(end), F.col("rep").alias(f"rep_{end}")), end)
-    roots = components(edges.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).withColumnRenamed("node", "rep")
-    named = cut(classes.join(roots, "rep", "left").select(F.col("fp").alias("key"), "rows", F.coalesce("root", "rep").alias("component_id")))
-    found = join_by_key(prints.withColumn("key", F.when(F.col("_id").isNotNull(), F.col("fp"))), named, "key", "rows")
-    return found.select(F.col("_id").alias(id_col), "fp", "component_id")
+    roots = components(edges(classes)).withColumnRenamed("node", "rep")
+    named = cut(classes.join(roots, "rep", "left").select(F.col("fp").alias("_key"), "rows", F.coalesce("root", "rep").alias("component_id")))
+    found = join_by_key(prints.withColumn("_key", F.when(F.col("_id").isNotNull(), F.col("fp"))), named, "_key", "rows")
+    return found.select("_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Docs without all but one document of each group of near-duplicates: that with the least id stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", find: Callable[..., DataFrame] = similar_documents, **options) -> DataFrame:
+    """Docs without all but one document of each group of near-duplicates that `find` gives: that with the least id stays.
 
     Rows that repeat an id count as one document, and one of them stays; rows with a null id all stay.
     """
-    found = near_duplicates(docs, id_col, **options)
+    found = find(docs, id_col, **options)
     stay = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     kept = docs.where(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)

@@ -59,7 +59,7 @@ def test_fingerprints_and_components(spark, docs):
                 if (prints[a] ^ prints[b]).bit_count() <= 4:
                     root[a] = root[b] = min(root[a], root[b])
     assert {r["doc_id"]: r["component_id"] for r in known} == root
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, find=simhash.near_duplicates)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(i for i in root if root[i] == i)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
@@ -85,6 +85,38 @@ def test_dense_groups_split_and_whole(spark, hot):
     assert {v: got.get(v, v) for v in values} == root
 
 
+def jaccard(a, b, width=5):
+    x, y = (set(simhash.shingle_hashes(t, width).tolist()) for t in (a, b))
+    return len(x & y) / max(1, len(x | y))
+
+
+@pytest.mark.parametrize("hot", [simhash.WIDE_HOT, 8])
+def test_similar_documents(spark, hot):
+    rnd = random.Random(12)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    rows, pairs = [], []
+    for i in range(240):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(60, 500))]
+        other = [rnd.choice(vocabulary) if rnd.random() < (0.004, 0.015, 0.1, 0.3)[i % 4] else w for w in words]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append((jaccard(rows[-2][1], rows[-1][1]), 2 * i))
+    base = [rnd.choice(vocabulary) for _ in range(300)]
+    dense = [" ".join(rnd.choice(vocabulary) if rnd.random() < 0.008 else w for w in base) for _ in range(150)]
+    rows += [(1000 + i, t) for i, t in enumerate(dense)] + [(2000, None), (2001, ""), (None, rows[0][1]), (2002, LONG), (2003, LONG), (2003, LONG)]
+    frame = spark.createDataFrame([(i, t, 1, 1) for i, t in rows], "doc_id long, text string, fp int, rows int")
+    found = simhash.similar_documents(frame, hot=hot).collect()
+    got = {r["doc_id"]: r["component_id"] for r in found}
+    assert len(found) == len(rows) and got[None] is None and got[2001] == 2000 and got[2003] == 2002
+    near, far = [i for j, i in pairs if j >= 0.85], [i for j, i in pairs if j < 0.6]
+    assert len(near) > 60 and len(far) > 50
+    assert sum(got[i] == got[i + 1] == i for i in near) >= 0.95 * len(near)
+    assert all(got[i] == i and got[i + 1] == i + 1 for i in far)
+    assert sum(got[1000 + i] == 1000 for i in range(len(dense))) >= (150 if hot > 150 else 140)
+    kept = simhash.keep_one(frame, hot=hot).collect()
+    assert sorted((r["doc_id"] for r in kept if r["doc_id"] is not None)) == sorted({i for i in got if i is not None and got[i] == i}) and len(kept) == len(set(got.values()) - {None}) + 1
+    assert simhash.similar_documents(frame.limit(0)).count() == 0
+
+
 def test_masks_cover_every_pair():
     rnd = random.Random(1)
     masks = simhash.covering_masks(4)

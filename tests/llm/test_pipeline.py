@@ -23,15 +23,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     before, after = steps[0]
     score = compression.train(before, common.documents(spark, DATA, "labels")).scorer()
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect() if score([r["text"] or ""])[0] >= 0.3}
-    # near-duplicates: one of each component of fingerprints within four bits
+    # near-duplicates: of each component of wide fingerprints within the radius the least id; similar texts are in one component
     before, after = steps[1]
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in before.collect()}
-    root = {i: i for i in prints}
-    for _ in range(5):
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 4:
-                    root[a] = root[b] = min(root[a], root[b])
+    texts = {r["doc_id"]: r["text"] for r in before.collect()}
+    prints = {i: int.from_bytes(simhash.wide_fingerprint(t, 5), "little") for i, t in texts.items()}
+    shingles = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    radius, root = simhash.radius_of(0.8, simhash.BITS), {i: i for i in prints}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= radius]
+    assert {(a, b) for a in prints for b in prints if a < b and len(shingles[a] & shingles[b]) >= 0.85 * len(shingles[a] | shingles[b])} <= set(near)
+    for _ in prints:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for i in root if root[i] == i)
     # secrets: no base secret is left, other texts are unchanged
     before, after = steps[2]
