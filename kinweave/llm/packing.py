@@ -3,8 +3,8 @@
 A sequence has simultaneous limits on tokens, on segments and on loss-bearing tokens. Each task packs the documents that it
 reads: a document's full sequences leave at once, the rests wait in a window and are placed by the dot-product heuristic
 (Panigrahy, Talwar, Uyeda and Wieder, "Heuristics for vector bin packing", 2011): of the rests that fit, the one whose
-demands have the greatest dot product with the sequence's free room, both in shares of the limits. Where none fits, one is
-cut. A sequence is full or has a power of two of tokens, so that nothing is padded; the fewer than a sequence's tokens
+demands have the greatest dot product with the sequence's free room, both in shares of the limits. Prompts of instruction
+data bear no loss, so that answers and prompts fill two limits unlike each other. Where none fits, one is cut. A sequence is full or has a power of two of tokens, so that nothing is padded; the fewer than a sequence's tokens
 that a task has left at its end go into powers of two. There is no shuffle, and a task holds one window of rests.
 """
 
@@ -39,6 +39,7 @@ class Rest:
     ids: bytes
     start: int
     length: int
+    prompt: int = 0  # ids at the begin that bear no loss
 
     @property
     def loss(self) -> int:
@@ -46,8 +47,9 @@ class Rest:
 
 
 def loss_tokens(rest: Rest, length: int) -> int:
-    """Of the next `length` tokens of a document, all bear loss but its closing id."""
-    return length - (rest.start + length == len(rest.ids) // 4)
+    """Of the next `length` tokens of a document, all bear loss but those of its prompt and its closing id."""
+    end, total = rest.start + length, len(rest.ids) // 4
+    return max(0, end - (end == total) - max(rest.start, rest.prompt))
 
 
 Piece = tuple[int, int, bytes, int, int, int]  # key, start, ids, tokens of the document, sequence, offset
@@ -59,8 +61,8 @@ class Packer:
             raise ValueError("limits are 1 at least, and that on tokens is a power of two")
         self.limits, self.sequences, self.waiting = limits, 0, []
 
-    def add(self, key: int, ids: bytes) -> Iterator[Piece]:
-        rest, most = Rest(key, ids, 0, len(ids) // 4), min(self.limits.tokens, 1 << (self.limits.loss.bit_length() - 1))
+    def add(self, key: int, ids: bytes, prompt: int = 0) -> Iterator[Piece]:
+        rest, most = Rest(key, ids, 0, len(ids) // 4, prompt), min(self.limits.tokens, 1 << (self.limits.loss.bit_length() - 1))
         while rest.length >= most:
             yield from self._emit([(rest, most)])
         if rest.length:
@@ -116,10 +118,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: Callable[[], str] = vocabulary_path, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
+def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: Callable[[], str] = vocabulary_path, id_col: str = "doc_id", text_col: str = "text", end: int = END, prompt_col: str | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    A document's ids are those of its text, null as empty, then `end`; an empty text is the closing id alone. Each id of
+    A document's ids are those of its prompt, if prompt_col names one (instruction data), which bear no loss, and of its text,
+    nulls as empty, then `end`; an empty text is the closing id alone. Each id of
     each row of docs, repeated rows included, lies in exactly one piece; a null id stays null. An empty table gives an
     empty result. Other columns aren't read. path() gives the vocabulary's file where the tasks run. sequence_id holds the
     task's partition in its upper bits, so that a task that runs again gives the same.
@@ -152,7 +155,8 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: Callable[[]
             keys = {k: v for k, v in keys.items() if k in waiting}
             for i in range(batch.num_rows):
                 keys[count] = batch.column(0)[i].as_py()
-                for piece in packer.add(count, tokenizer.encode(batch.column(1)[i].as_py() or "") + closing):
+                prompt = tokenizer.encode(batch.column(2)[i].as_py() or "") if prompt_col else b""
+                for piece in packer.add(count, prompt + tokenizer.encode(batch.column(1)[i].as_py() or "") + closing, len(prompt) // 4):
                     rows.append(piece)
                     held += len(piece[2])
                 if held > 4 << 20:
@@ -169,7 +173,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: Callable[[]
         release("tokenizer")
 
     schema = f"`{field.name}` {field.dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col), *([F.col(prompt_col)] if prompt_col else [])).mapInArrow(run, schema)
 
 
 def op7_vector_packing(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Its splitter cuts a lower-cased text into runs of letters, single digits, short forms such as 's and runs of other signs, and
 its merges work within these pieces. So the ids of a text are those of its pieces in a row; pieces recur, and each Python
 worker remembers the ids of those that it has met, up to a fixed number. Texts with characters outside the range where this
-module cuts exactly as the splitter does go to the tokenizer whole.
+module cuts exactly as the splitter does go to the tokenizer whole, and so do those that hold a special token's string, which
+the tokenizer's plain call gives as that token.
 """
 
 from __future__ import annotations
@@ -48,14 +49,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         closes = [i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
         self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.closes[closes] = True
         self.pieces = Memory(REMEMBER)
 
     def encode(self, text: str) -> bytes:
-        if OTHER.search(text):
+        if OTHER.search(text) or any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = PIECE.findall(text.lower())
         try:
