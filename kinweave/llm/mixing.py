@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, n_words
+from .rules import lines_with_words, n_symbols
 
 #: Weights in turn for the sources in their order, the total as a share of all sizes, and the most epochs, as the query contract fixes them.
 WEIGHTS, TOTAL, MOST = (5, 2, 1), 1.5, 2.0
@@ -26,10 +27,16 @@ BROADCAST = 100_000
 
 
 def quality_of(text: Column) -> Column:
-    """A simple quality weight from 0.1 to 1: one less four times the share of symbols among the characters; 1 for an empty text."""
-    plain = F.length(F.translate(text, "#*$%&|<>!{}[]^~", ""))
-    share = plain / F.length(text)
-    return F.when(F.length(text) > 0, F.greatest(F.lit(0.1), 1 - 4 * (1 - share))).otherwise(F.lit(1.0))
+    """A quality weight from 0.1 to 1, of two measures of the quality rules: one less four times the symbols per character and less the share of lines that repeat an earlier one; 1 for an empty text."""
+    lines = lines_with_words(text)
+    repeats = F.when(text.contains("\n"), 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))).otherwise(0.0)
+    return F.when(F.length(text) > 0, F.greatest(F.lit(0.1), 1 - 4 * n_symbols(text) / F.length(text) - repeats)).otherwise(F.lit(1.0))
+
+
+def sampling_key(doc_id: Column, text: Column, quality: Column, seed: int) -> Column:
+    """One less the Efraimidis-Spirakis key u^(1/quality): the least come first. u in (0, 1) hashes id and text, so that null and repeated ids spread."""
+    u = (F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), text, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return 1 - F.pow(u, 1 / quality)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
@@ -54,16 +61,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
 
 
 def mix(docs: DataFrame, keep: list[str] | None = None, quality: Column | None = None, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 8, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, size, source, source_size, target, taken (words that the mix takes, repeats counted), and the columns in `keep`.
+    """One row per row of docs: id, size, source, source_size, target, taken (words that the mix takes, repeats counted), and the columns in `keep`.
 
     A null text has size 0; a null source is a source of its own, the last; a null id is hashed like a value. Rows that
     repeat one another count each; ties of the key go by a hash of the text, then in any order, between rows alike in size
     and id. Documents of size 0 take 0. An empty table gives an empty result. The same rows give the same mix.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    u = (F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    key = F.pow(u, 1 / (quality if quality is not None else quality_of(text)))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(text).alias("size"), (1 - key).alias("key"), F.xxhash64(text).alias("tie"), *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep or []])
+    key = sampling_key(F.col(id_col), text, quality if quality is not None else quality_of(text), seed)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), n_words(text).alias("size"), key.alias("key"), F.xxhash64(text).alias("tie"), *[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep or [])])
     # Ranges and finer ranges of 1 - u^(1/quality), ascending.
     rows = rows.withColumn("b1", F.floor(F.col("key") * buckets).cast("int")).withColumn("b2", F.floor(F.pmod(F.col("key") * buckets, F.lit(1.0)) * buckets).cast("int"))
     # Without further columns the rows are small and are kept; with them (whole texts), only what the sums need is.
@@ -88,7 +94,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, quality: Column | None =
     edge = joined.where(on_edge).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left_over") - F.coalesce(so_far, F.lit(0)))))
     plain = joined.where(~on_edge).withColumn("extra", inside)
     taken = F.col("epochs") * F.col("size") + F.coalesce(F.col("extra"), F.lit(0))
-    return plain.unionByName(edge).select(F.col("_id").alias(id_col), "size", "source", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep or []])
+    return plain.unionByName(edge).select(F.col("_id").alias(id_col), "size", "source", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep or [])])
 
 
 def _by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -106,23 +112,25 @@ def _border(sums: DataFrame, rests: DataFrame, by: list[str], bucket: str) -> Da
     return passed.groupBy("source").agg(F.min(F.struct(bucket, (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))).alias("x")).select("source", "x.*")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix as rows of docs: a document that is taken k times whole has k rows, and that on the border one more with its first words that fit; others go.
 
-    The text of such a cut row ends after its last word; n_chars, where docs has it, is not changed.
+    The text of such a cut row ends after its last word; n_chars, where docs has it, is not changed. Null and empty texts have
+    no words and go. Null ids, null sources, repeated rows and ties are as in mix(); docs may have columns of any names.
     """
-    columns = docs.columns
-    found = mix(docs, keep=[c for c in columns if c != "doc_id"], **options)
-    # keep carries `source` and others under their own names; those of the mix itself come first, so they are taken by place.
-    named = found.toDF("doc_id", "_size", "_source", "_source_size", "_target", "_taken", *[c for c in columns if c != "doc_id"])
-    copies = F.floor(F.col("_taken") / F.greatest(F.col("_size"), F.lit(1)))
-    part = F.col("_taken") - copies * F.col("_size")
-    turns = F.explode(F.sequence(F.lit(1), (copies + F.when(part > 0, 1).otherwise(0)).cast("int")))
-    spread = named.where("_taken > 0").withColumn("_part", part).withColumn("_copies", copies).withColumn("_turn", turns)
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    some = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_part"), F.lit(1)).cast("int")), "")
-    text = F.when(F.col("_turn") > F.col("_copies"), some).otherwise(F.col("text"))
-    return spread.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
+    names = docs.columns
+    found = mix(docs, keep=names, id_col=id_col, text_col=text_col, **options)
+    # Columns go by place, so that no name of docs meets one of the mix.
+    named = found.toDF("id", "size", "source", "source_size", "target", "taken", *[f"c{i}" for i in range(len(names))])
+    text = F.col(f"c{names.index(text_col)}")
+    whole = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)))
+    part = F.col("taken") - whole * F.col("size")
+    spread = named.where("taken > 0").withColumns({"whole": whole, "part": part})
+    spread = spread.withColumn("turn", F.explode(F.sequence(F.lit(1), (F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int"))))
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    some = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("part"), F.lit(1)).cast("int")), "")
+    cut_text = F.when(F.col("turn") > F.col("whole"), some).otherwise(text)
+    return spread.select(*[(cut_text if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)])
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -77,6 +77,14 @@ def repeated_words(words: Column) -> Column:
     return _let(_let(hashes, windows), count)
 
 
+def n_symbols(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+
+
+def lines_with_words(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and the measurements n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long) of every row's whole text; null measures as empty."""
     text = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
@@ -84,8 +92,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         id_col,
         F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_words"),
         F.length(F.translate("_t", SPACES, "")).alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).alias("n_symbols"),
-        F.filter(F.split("_t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
+        n_symbols(F.col("_t")).alias("n_symbols"),
+        lines_with_words(F.col("_t")).alias("_lines"),
     )
     found = {"n_words": F.size("_words"), "word_chars": F.col("word_chars"), "n_symbols": F.col("n_symbols"), "n_lines": F.size("_lines"), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")), "n_repeat_words": repeated_words(F.col("_words"))}
     return split.select(id_col, *[c.cast("long").alias(k) for k, c in found.items()])
@@ -94,7 +102,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The measurements and `failed`, a long with a bit per rule in the order of rules.
 
-    Each row of docs has its row, repeats and null ids included; an empty text fails few_words. Other columns aren't read.
+    Each row of docs has its row, repeats and null ids included; an empty text fails few_words; an empty table gives an empty
+    ledger. Other columns aren't read.
     """
     bits = F.lit(0).cast("long")
     for i, r in enumerate(rules):
