@@ -51,6 +51,13 @@ ADDED = (
     Rule("slack", r"xox[abprs]-", r"[A-Za-z0-9-]+", 10),
     Rule("google", r"AIza", r"[A-Za-z0-9_-]+", 35),
     Rule("jwt", r"eyJ", r"[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 20),
+    Rule("github_fine", r"github_pat_", r"[A-Za-z0-9_]+", 22, True),
+    Rule("gitlab", r"glpat-", r"[A-Za-z0-9_-]+", 20, True),
+    Rule("stripe", r"[rs]k_(?:live|test)_", r"[A-Za-z0-9]+", 16, True),
+    Rule("npm", r"npm_", r"[A-Za-z0-9]+", 36, True),
+    Rule("pypi", r"pypi-", r"[A-Za-z0-9_-]+", 50, True),
+    Rule("sendgrid", r"SG[.]", r"[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 39, True),
+    Rule("hub", r"hf_", r"[A-Za-z0-9]+", 30, True),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", PEM, 0, True),
 )
 
@@ -212,6 +219,8 @@ class Automaton:
 
 def compile_rules(patterns: list[str], anywhere: bool) -> Automaton:
     """The minimal deterministic automaton of all patterns together; anywhere: matches may begin at any byte, else at the first."""
+    if len(patterns) > 63:
+        raise ValueError("an automaton holds 63 rules at most; scan with several")
     nfa = Pattern()
     begins, ends = [], {}
     for k, source in enumerate(patterns):
