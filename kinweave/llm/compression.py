@@ -6,8 +6,6 @@ of their ids): one half trains the dictionaries, the other calibrates. It is two
 weights, so what is sent to the executors has a fixed size. Scoring is one pass without a shuffle.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,23 +95,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int =
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score in [0, 1] of every row's whole text; null counts as empty, and an empty text gets the score of no difference. Other columns aren't read."""
+    """id, score in [0, 1] of every row's whole text; null counts as empty, and an empty text gets the score of no difference.
+
+    Null ids and repeated rows stay, an empty table gives an empty result, equal texts get equal scores. Other columns aren't read.
+    """
     score = model.scorer()
     return map_texts(docs, [id_col], text_col, "score double", lambda texts: {"score": pa.array(score(texts), pa.float64())})
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores `least` or more, with all their columns unchanged."""
+    """The rows whose text scores `least` or more, with all their columns unchanged. Null counts as empty; null ids, repeated rows and an empty table pass through as they are."""
     score = model.scorer()
 
+    @F.pandas_udf("boolean")
     def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         release("")
         for texts in batches:
             yield pd.Series(score(texts.tolist()) >= least)
         release("")
 
-    marks = F.pandas_udf(good, "boolean", F.PandasUDFType.SCALAR_ITER)
-    return docs.where(marks(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    return docs.where(good(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 
 
 def op9_quality_compression(spark, sf_dir: str) -> DataFrame:

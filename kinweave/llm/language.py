@@ -1,14 +1,14 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Each word (a run of at most 32 letters, lower-cased; longer ones are cut, so that each letter counts) scores for each language by its prefixes, suffixes, letter trigrams and, for frequent
-training words, itself (a lexicon), hashed into a table of fixed size; learned transitions tie neighbours together. The
-field is fitted by AdaGrad on the conditional likelihood of sequences that join passages of several training documents,
+Each word (a run of at most 32 letters, lower-cased; longer ones are cut, so that each letter counts) scores for each language
+by its prefixes, suffixes, letter trigrams and, if three documents of the sample or more hold it, itself (a lexicon), hashed
+into a table of fixed size; learned transitions tie neighbours together. All languages of the sample are learned. The field is fitted by AdaGrad on the conditional likelihood of sequences that join passages of several training documents,
 so that switches within a text are learned too. Forward-backward gives each word's marginals over whole texts; their sum
 over a text names its language, and runs of words with the same best language are its code-switched parts.
 
 Inference is exact and vectorised: texts are cut into chunks of `CHUNK` words; products of the chunks' transfer matrices
 carry the messages over the cuts, then all chunks are filled in side by side. There is no shuffle; the model (table,
-lexicon, transitions) has a fixed size. It is fitted on the driver on a bounded sample of `rows` documents.
+lexicon, transitions) is bounded by the sample on which the driver fits it: `rows` documents of at most `max_bytes` each.
 """
 
 from __future__ import annotations
@@ -39,8 +39,7 @@ UNDETERMINED = "und"
 class Settings:
     rows: int = 4000
     max_bytes: int = 1 << 15
-    languages: int = 64  # the most frequent ones that are learned
-    lexicon: int = 20_000
+    lexicon: int = 3  # documents of the sample that hold a word of the lexicon
     table: int = 1 << 16
     sequences: int = 6000
     passage: int = 24  # words of a passage; a sequence has two
@@ -160,13 +159,13 @@ def forward_backward(potentials: np.ndarray, sizes: list[int], switch: np.ndarra
 def fit(sample: list[tuple[str, str]], settings: Settings = Settings()) -> Field:
     """A field over the languages of the sample; without any, one that knows `und` alone."""
     s, rnd = settings, random.Random(settings.seed)
-    often = Counter(lang for _, lang in sample).most_common(s.languages)
-    languages = sorted(lang for lang, _ in often) or [UNDETERMINED]
-    texts = [(words, languages.index(lang)) for text, lang in sample if lang in set(languages) and (words := tokens(text))]
+    languages = sorted({lang for _, lang in sample}) or [UNDETERMINED]
+    number = {lang: i for i, lang in enumerate(languages)}
+    texts = [(words, number[lang]) for text, lang in sample if (words := tokens(text))]
     held: Counter = Counter()
     for words, _ in texts:
         held.update(set(words))
-    lexicon = frozenset(w for w, n in held.most_common(s.lexicon) if n >= 3)
+    lexicon = frozenset(w for w, n in held.items() if n >= s.lexicon)
     n = len(languages)
     weights, switch = np.zeros((s.table, n), np.float32), np.eye(n, dtype=np.float32) * 2
     if n == 1 or not texts:
@@ -291,7 +290,10 @@ def _runs(texts: list[str], model: Field) -> Iterator[list[tuple[int, int, str]]
 
 
 def label_runs(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, runs: array<struct<begin, end, lang>> of every row's text, as runs() gives them; empty without words."""
+    """id, runs: array<struct<begin, end, lang>> of every row's text, as runs() gives them; empty without words, as in null texts.
+
+    Null ids and repeated rows stay; an empty table gives an empty result. Other columns aren't read.
+    """
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def score(texts: list[str]) -> dict:
