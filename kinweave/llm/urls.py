@@ -80,7 +80,7 @@ class Index:
         best: dict[int, tuple[int, int, int]] = {}
         digests = np.array([xxhash.xxh64_intdigest(c.encode(), self.seed) for c, *_ in found], np.uint64)
         place = np.searchsorted(self.keys, digests)
-        hits = np.flatnonzero(np.append(self.keys, 0)[place] == digests) if len(self.keys) else []
+        hits = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] == digests) if len(self.keys) else []
         for j in hits:
             text, i, size = found[j]
             at = int(place[j])

@@ -260,6 +260,70 @@ def test_tokens_equal_the_whole_text():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_special_tokens_are_the_plain_call():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(packing.vocabulary_path()), tokens.WordTokenizer(packing.vocabulary_path())
+    for t in ("a<|endoftext|>b", "x <|startoftext|> Y", "<|ENDOFTEXT|> z", "<|endoftext|>", "é<|endoftext|>漢", "plain text, 12 it's"):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def plain_packer(examples, limits):
+    """The heuristic in plain loops, with all examples in one window: lists of (key, start, length) by sequence."""
+    rest = [{"key": k, "at": 0, "n": n, "prompt": p} for k, n, p in examples]
+    loss = lambda r, take: sum(r["prompt"] <= i < r["n"] - 1 for i in range(r["at"], r["at"] + take))
+    out = []
+    while total := sum(r["n"] - r["at"] for r in rest):
+        room = size = min(limits.tokens, 1 << (total.bit_length() - 1))
+        segments, loss_room, chosen = limits.segments, limits.loss, []
+        while room and segments:
+            left = [r for r in rest if r["at"] < r["n"] and not any(r is c for c, _ in chosen)]
+            n = lambda r: r["n"] - r["at"]
+            worth = lambda r: n(r) / limits.tokens * room / limits.tokens + segments / limits.segments**2 + loss(r, n(r)) / limits.loss * loss_room / limits.loss
+            if fits := [r for r in left if n(r) <= room and loss(r, n(r)) <= loss_room]:
+                best = max(fits, key=worth)
+                take = n(best)
+            else:
+                if not left:
+                    break
+                best = max(left, key=worth)
+                take = min(n(best), room, loss_room)
+                if take < 1:
+                    break
+            chosen.append((best, take))
+            room, segments, loss_room = room - take, segments - 1, loss_room - loss(best, take)
+        over = (size - room) - (1 << ((size - room).bit_length() - 1))
+        while over:
+            r, take = chosen.pop()
+            if take > over:
+                chosen.append((r, take - over))
+            over -= min(over, take)
+        out.append([(r["key"], r["at"], take) for r, take in chosen])
+        for r, take in chosen:
+            r["at"] += take
+    return out
+
+
+@pytest.mark.parametrize("limits", [packing.Limits(64, 5, 40), packing.Limits(64, 3, 64), packing.Limits(32, 9, 20)])
+def test_vector_packing_against_plain_loops(limits):
+    rnd = random.Random(21)
+    examples = [(k, n := rnd.randint(1, 15), rnd.randint(0, n)) for k in range(120)]
+    packer = packing.Packer(limits)
+    pieces = [p for k, n, prompt in examples for p in packer.add(k, np.arange(n, dtype="<u4").tobytes(), prompt)] + list(packer.pack(True))
+    found = {}
+    for key, start, ids, _, sequence, _ in pieces:
+        found.setdefault(sequence, []).append((key, start, len(ids) // 4))
+    assert [found[s] for s in sorted(found)] == plain_packer(examples, limits)
+    prompts, sizes = {k: p for k, _, p in examples}, {k: n for k, n, _ in examples}
+    for seq in found.values():
+        total = sum(n for *_, n in seq)
+        assert total <= limits.tokens and not total & (total - 1) and len(seq) <= limits.segments
+        assert sum(prompts[k] <= i < sizes[k] - 1 for k, a, n in seq for i in range(a, a + n)) <= limits.loss
+    by_loss = lambda seq: sum(prompts[k] <= i < sizes[k] - 1 for k, a, n in seq for i in range(a, a + n))
+    assert limits.loss == limits.tokens or any(by_loss(seq) == limits.loss for seq in found.values())  # the limit on loss binds
+    assert sorted((k, i) for seq in found.values() for k, a, n in seq for i in range(a, a + n)) == [(k, i) for k, n, _ in examples for i in range(n)]
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 5, 40, 50), packing.Limits(8, 1, 8, 4)])
 def test_packing_round_trip(spark, docs, limits):
     pieces = packing.pack_documents(docs.withColumn("doc_id", F.monotonically_increasing_id()), limits).collect()
@@ -304,6 +368,23 @@ def test_mixing(spark, docs):
         assert all(0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[s] for r in mine)
     key = lambda rows: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in rows)
     assert key(mixing.mix(docs.repartition(7)).collect()) == key(got)
+    # the documents with the least keys are taken: each source in order, by hand
+    whole = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("t"))
+    keyed = whole.select("doc_id", "source", common.n_words(F.col("t")).alias("size"), mixing.sampling_key(F.col("doc_id"), F.col("t"), mixing.quality_of(F.col("t")), 8).alias("key")).collect()
+    by_hand = []
+    for s in order:
+        goal, mine = round(want[s]), sorted((r for r in keyed if r["source"] == s), key=lambda r: r["key"])
+        epochs, left = divmod(goal, sizes[s]) if sizes[s] else (0, 0)
+        for r in mine:
+            extra = min(r["size"], left)
+            left -= extra
+            by_hand.append((str(r["doc_id"]), r["size"], epochs * r["size"] + extra))
+    assert sorted(by_hand) == key(got)
+    clash = docs
+    for c in ("_size", "_taken", "_part", "_turn", "_copies", "whole", "part", "turn", "c0", "_keep_0", "_id"):
+        clash = clash.withColumn(c, F.lit(5).cast("long"))
+    out = mixing.mixed(clash.withColumnsRenamed({"doc_id": "page", "text": "body"}), id_col="page", text_col="body")
+    assert out.columns == clash.withColumnsRenamed({"doc_id": "page", "text": "body"}).columns and out.where("_size <> 5 or _taken <> 5 or _part <> 5 or turn <> 5 or c0 <> 5 or size <> 7").count() == 0
     rows = mixing.mixed(docs)
     assert rows.columns == docs.columns
     assert rows.select(F.sum(common.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
@@ -331,7 +412,11 @@ def test_labelled_sample(spark):
     got = common.labelled_sample(docs, labels, "y", common.crc_fold(F.col("doc_id"), 3) != 1, 1000, 100)
     want = {i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1}
     assert len(got) == len(want) and (4 not in want or ("text 4", 1) in got) and (7 not in want or ("a text", 1) in got)
-    assert len(common.labelled_sample(docs, labels, "y", F.lit(True), 10, 100)) in (9, 10)  # a repeated label row may be one of ten
+    assert len(common.labelled_sample(docs, labels, "y", F.lit(True), 10, 100)) == 10
+    assert all(dict(common.labelled_sample(docs, labels, "y", F.lit(True), n, 100)).get("text 4", 1) == 1 for n in range(1, 51, 8))
+    long = docs.select("doc_id", F.concat(F.lit("begin "), F.repeat(F.lit("x é "), 5000), "text", F.lit(" end")).alias("text"))
+    parts = common.labelled_sample(long, labels, "y", F.lit(True), 20, 4000)
+    assert len(parts) == 20 and all(1000 < len(t.encode()) <= 4000 and t.startswith("begin") and t.endswith("end") for t, _ in parts)
     assert common.labelled_sample(docs, labels.limit(0), "y", F.lit(True), 10, 100) == []
 
 
