@@ -160,18 +160,28 @@ MATCH_SQL = f"""WITH {MASKS}, c AS (SELECT w, count(*) AS n FROM (SELECT unnest(
   SELECT doc_id AS i1, coalesce(m, '') AS matches FROM rec LEFT JOIN l ON l.i1 = doc_id WHERE side = 's1'"""
 
 
+#: Likeness from which two documents match.
+LIKELY = 0.5
+
+
 @query("match_end_to_end", MATCH_SQL)
 def match_end_to_end(spark, sf_dir):
     """For every clean document all other documents that match: keys, capped join, weighed likeness, pruning, threshold, owners, lists."""
     r = rec(spark, sf_dir)
     idf = statistics.idf(statistics.token_counts(r, "toks"), F.lit(r.count()))
-    w = linkage.staged(statistics.weigh_tokens(r, "doc_id", "toks", idf, 12.0, "words"))
-    m = linkage.staged(masks(spark, sf_dir))
-    both = m.join(w.select(F.col("doc_id").alias("i1"), F.col("words").alias("a")), "i1").join(w.select(F.col("doc_id").alias("it"), F.col("words").alias("b")), "it")
-    scored = linkage.staged(both.where(F.size("a") > 0).where(F.size("b") > 0).select("i1", "it", F.round(sim.set_features(F.col("a"), F.col("b"))["wjac"], 5).alias("p")))
-    kept = scored.withColumn("_t", context.rank_in("it", "p", "i1")).where("_t < 8").drop("_t")
-    kept = context.prune_records(kept, 50, "p")
-    likely = decisions.threshold_sets(kept, 0.5)
+    w = linkage.staged(sim.with_sketch(statistics.weigh_tokens(r, "doc_id", "toks", idf, 12.0, "words"), "words").where(F.size("words") > 0))
+    # Pairs under the threshold outrank none above it, so they may go first: by their totals, then by a bound on their likeness.
+    side = lambda rid, x, *more: w.select(F.col("doc_id").alias(rid), *[F.col(c).alias(f"{x}_{c}") for c in more])
+    totals = (F.col("a_total"), F.col("b_total"))
+    near = masks(spark, sf_dir).select("i1", "it").join(side("i1", "a", "total", "most"), "i1").join(side("it", "b", "total", "most"), "it")
+    near = near.where(sim.likeness_within(F.least("a_most", "b_most"), *totals) >= LIKELY).drop("a_most", "b_most")
+    near = near.join(side("i1", "a", "sketch"), "i1").join(side("it", "b", "sketch"), "it")
+    near = near.where(sim.likeness_within(sim.sketched(F.col("a_sketch"), F.col("b_sketch")), *totals) >= LIKELY).select("i1", "it")
+    both = linkage.staged(near).join(side("i1", "a", "words"), "i1").join(side("it", "b", "words"), "it")
+    scored = linkage.staged(both.select("i1", "it", F.round(sim.set_features(F.col("a_words"), F.col("b_words"))["wjac"], 5).alias("p")))
+    likely = decisions.threshold_sets(scored, LIKELY)
+    kept = likely.withColumn("_t", context.rank_in("it", "p", "i1")).where("_t < 8").drop("_t")
+    likely = context.prune_records(kept, 50, "p")
     owned = likely.withColumn("p", decisions.one_owner()).where("p > 0")
     return decisions.match_lists(r.where("side = 's1'").select(F.col("doc_id").alias("i1")), owned)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..operators import blocking, keys, sampling, statistics
+from ..sources.staging import staged
 from .base import REC, TRUTH, query, rec, rounded, table, truth
 from .text_queries import SKELETON_SQL, in_list
 
@@ -160,7 +161,7 @@ HITS = f"""{KEY_BASE}, {SIX}, ks AS MATERIALIZED ({" UNION ALL ".join(scoped(BOD
 
 
 def hits(spark, sf_dir):
-    return blocking.capped_hits(keys.all_keys(key_input(spark, sf_dir), KINDS))
+    return blocking.capped_hits(keys.all_keys(staged(key_input(spark, sf_dir)), KINDS), unique=True)
 
 
 @query("capped_key_join", f"WITH {HITS} SELECT kind, i1, it, count(*)::BIGINT AS n_keys FROM hits GROUP BY kind, i1, it")
