@@ -12,7 +12,8 @@ table left out: what shares both masks differs in at most about 18 bits, which b
 
 Four of 64 bits find near copies only. similar_documents() links by an estimated Jaccard similarity (0.8 of sets of five-word
 shingles by default): fingerprints of 512 bits, whose differing share tells the angle between two sets, hence the similarity;
-candidates by covering masks over six parts of the first half, so that pairs of up to 23 differing bits there always meet.
+candidates by covering masks over nine parts of them, so that pairs of up to 35 differing bits there always meet, and by
+classes of the sets' sizes, since sets as similar have sizes as similar.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ SHINGLE, RADIUS = 4, 4
 HOT = 16384
 #: Of wide fingerprints: bits, words of a shingle, and the Jaccard similarity that links.
 BITS, WIDTH, SIMILARITY = 512, 5, 0.8
-#: Parts of the first half, and the radius that the masks cover in each.
-PARTS, PART_RADIUS = 6, 3
-#: As HOT, for wide fingerprints; how often a larger bucket is split, into how many splits, by how many bytes of the second half each.
+#: Parts of a wide fingerprint, their bits, and the radius that the masks cover in each.
+PARTS, PART_BITS, PART_RADIUS = 9, 42, 3
+#: A class of set sizes spans so many steps, each a ratio of sizes that the least similarity admits.
+SIZE_STEPS = 4
+#: As HOT, for wide fingerprints; how often a larger bucket is split, into how many splits, by how many of the last bytes each.
 WIDE_HOT, TURNS, SPLITS, SPLIT_BYTES = 2048, 4, 2, 2
 #: Large buckets up to whose number their keys (16 bytes each) are broadcast.
 BROADCAST = 200_000
@@ -69,13 +72,13 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 
 
 def wide_fingerprint(text: str | None, width: int) -> bytes:
-    """BITS bits like fingerprint()'s, over the set of shingles; each 64 bits mix the hashes in another way."""
+    """BITS bits like fingerprint()'s, over the set of shingles; each 64 bits mix the hashes in another way. Then the set's size, in four bytes."""
     hashes, out = np.unique(shingle_hashes(text, width)), []
     for k in range(BITS // 64):
         mixed = (hashes + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15) if k else hashes
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         out.append(majority(mixed ^ (mixed >> np.uint64(27))))
-    return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+    return np.packbits(np.concatenate(out), bitorder="little").tobytes() + len(hashes).to_bytes(4, "little")
 
 
 def radius_of(similarity: float, bits: int) -> int:
@@ -165,17 +168,29 @@ def wide_forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _part_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, key) of (rep, fp): a key for each table, with the table's number in the upper bits."""
-    size = BITS // 2 // PARTS
-    masks = np.array(covering_masks(PART_RADIUS, range(size)), np.uint64)
-    for batch in batches:
-        bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
-        parts = bits[:, : size * PARTS].reshape(len(bits), PARTS, size).astype(np.uint64) @ (np.uint64(1) << np.arange(size, dtype=np.uint64))
-        table = np.arange(PARTS * len(masks), dtype=np.uint64).reshape(PARTS, -1) << np.uint64(size)
-        found = parts[:, :, None] & masks | table
-        rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(bits)), PARTS * len(masks))))
-        yield pa.RecordBatch.from_arrays([rep, pa.array(found.reshape(-1).view(np.int64))], names=["rep", "key"])
+def _part_keys(similarity: float):
+    """(rep, key) of (rep, fp): a key for each table, with the table's number and the class of the set's size in the upper bits; sizes at most a step below the next class have its keys too."""
+    masks = np.array(covering_masks(PART_RADIUS, range(PART_BITS)), np.uint64)
+    table = np.arange(PARTS * len(masks), dtype=np.uint64).reshape(PARTS, -1) << np.uint64(PART_BITS)
+    weights = np.uint64(1) << np.arange(PART_BITS, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8 + 4)
+                bits = np.unpackbits(raw[:, : BITS // 8], axis=1, bitorder="little")[:, : PARTS * PART_BITS]
+                values = bits.reshape(len(bits), PARTS, PART_BITS).astype(np.uint64) @ weights
+                found = (values[:, :, None] & masks | table).reshape(len(bits), -1)
+                steps = np.log(np.maximum(raw[:, BITS // 8 :].copy().view("<u4").ravel(), 1)) / -math.log(similarity)
+                size = np.floor(steps / SIZE_STEPS)
+                twice = np.flatnonzero(steps - SIZE_STEPS * size >= SIZE_STEPS - 1 - 1e-9)
+                at, size = np.concatenate([np.arange(len(bits)), twice]), np.concatenate([size, size[twice] + 1]).astype(np.uint64)
+                keys = found[at] | size[:, None] << np.uint64(PART_BITS + 8)
+                rep = part.column(0).take(pa.array(np.repeat(at, found.shape[1])))
+                yield pa.RecordBatch.from_arrays([rep, pa.array(keys.reshape(-1).view(np.int64))], names=["rep", "key"])
+
+    return run
 
 
 def _wide_forests(radius: int):
@@ -187,7 +202,7 @@ def _wide_forests(radius: int):
             a: list[int] = []
             b: list[int] = []
             for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                values = np.frombuffer(b"".join(data.slice(lo, hi - lo).to_pylist()), "<u8").reshape(-1, BITS // 64)
+                values = np.frombuffer(b"".join(x[: BITS // 8] for x in data.slice(lo, hi - lo).to_pylist()), "<u8").reshape(-1, BITS // 64)
                 for x, y in wide_forest(values, radius):
                     a.append(lo + x)
                     b.append(lo + y)
@@ -203,7 +218,7 @@ def similar_edges(classes: DataFrame, similarity: float = SIMILARITY, hot: int =
     least id, of those within the radius.
     """
     kind, radius = dict(classes.dtypes)["rep"], radius_of(similarity, BITS)
-    keys = classes.select("rep", "fp").mapInArrow(_part_keys, f"rep {kind}, key long")
+    keys = classes.select("rep", "fp").mapInArrow(_part_keys(similarity), f"rep {kind}, key long")
     prints, edges = classes.select("rep", "fp"), []
     for turn in range(TURNS + 1):
         sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -218,7 +233,7 @@ def similar_edges(classes: DataFrame, similarity: float = SIMILARITY, hot: int =
         held = keys.join(F.broadcast(large), "key").drop("n") if n_large <= BROADCAST else join_by_key(cut(keys), large, "key", "n", how="inner").drop("n")
         held = cut(held if "fp" in keys.columns else held.join(prints, "rep"))
         if turn < TURNS:
-            at = [1 + BITS // 16 + (turn * SPLITS + i) * SPLIT_BYTES for i in range(SPLITS)]
+            at = [1 + BITS // 8 - (turn * SPLITS + i + 1) * SPLIT_BYTES for i in range(SPLITS)]
             keys = held.select("rep", "fp", F.explode(F.array(*[F.xxhash64("key", F.lit(i), F.substring("fp", i, SPLIT_BYTES)) for i in at])).alias("key"))
         else:
             heads = cut(held.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("least"), F.count("*").alias("n")))
