@@ -1,8 +1,8 @@
 """Tokenisation with a public vocabulary that closes every word with an end mark, piece by piece and remembered.
 
 Its splitter cuts a lower-cased text into runs of letters, single digits, short forms such as 's and runs of other signs, and
-its merges work within these pieces. So the ids of a text are those of its pieces in a row; pieces recur, and each Python
-worker remembers the ids of those that it has met, up to a fixed number. Texts with characters outside the range where this
+its merges work within these pieces. So the ids of a text are those of its words, between white space, in a row, and those of a
+word its pieces' ids; both recur, and each Python worker remembers those that it has met, up to a fixed number. Texts with characters outside the range where this
 module cuts exactly as the splitter does go to the tokenizer whole, and so do those that hold a special token's string, which
 the tokenizer's plain call gives as that token.
 """
@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
-#: Pieces whose ids a worker remembers; as many older ones are kept until they are met again or pushed out.
-REMEMBER = 400_000
+#: Words, and pieces, whose ids a worker remembers; as many older ones are kept until they are met again or pushed out.
+WORDS, PIECES = 400_000, 200_000
 #: What the splitter does below U+0250: letters, short forms, single digits, other signs.
 PIECE = re.compile(r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+PLAIN = re.compile("[!-~]+")
 #: Characters that Python and the tokenizer may treat differently.
 OTHER = re.compile(r"[\x1c-\x1fİɐ-\U0010ffff]")
 
@@ -46,33 +49,32 @@ class WordTokenizer:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        closes = [i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
-        self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.closes[closes] = True
-        self.pieces = Memory(REMEMBER)
+        self.model, level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        others = {x for c in range(1, 0x250) for x in chr(c).lower() if not PLAIN.fullmatch(x)}
+        self.by_bytes = str.maketrans({c: "".join(x for x, _ in level.pre_tokenize_str(c)) for c in others})
+        self.words, self.pieces = Memory(WORDS), Memory(PIECES)
 
     def encode(self, text: str) -> bytes:
         if OTHER.search(text) or any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        pieces = PIECE.findall(text.lower())
+        words = text.lower().split()
         try:
-            return b"".join(map(self.pieces.young.__getitem__, pieces))
+            return b"".join(map(self.words.young.__getitem__, words))
         except KeyError:
-            new = self._at_once(self.pieces.missing(set(pieces)))
-            self.pieces.young.update(new)
-            return b"".join(map(self.pieces.young.__getitem__, pieces))
+            new = [(w, PIECE.findall(w)) for w in self.words.missing(set(words))]
+            known = self.pieces
+            for piece in known.missing({p for _, pieces in new for p in pieces}):
+                known.young[piece] = self._piece(piece)
+            self.words.young.update((w, b"".join(map(known.young.__getitem__, pieces))) for w, pieces in new)
+            return b"".join(map(self.words.young.__getitem__, words))
 
-    def _at_once(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that are one token of the splitter's each, from one call: each ends at its end mark."""
-        if not pieces:
-            return {}
-        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) == len(pieces) and ends[-1] == len(ids):
-            raw, bounds = ids.tobytes(), [0, *(ends * 4).tolist()]
-            return {p: raw[a:b] for p, a, b in zip(pieces, bounds[:-1], bounds[1:], strict=True)}
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True)}
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece, by the merges alone: printable ASCII stands for its own bytes there, others are put in terms of bytes first."""
+        found = array("I", [t.id for t in self.model.tokenize(piece if piece.isascii() and PLAIN.fullmatch(piece) else piece.translate(self.by_bytes))])
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()

@@ -260,6 +260,13 @@ def test_tokens_equal_the_whole_text():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_tokens_of_every_character():
+    own = tokens.WordTokenizer(packing.vocabulary_path())
+    for c in range(1, 0x260):
+        for t in (chr(c), f"a{chr(c)}b", f"x {chr(c)} Y", chr(c) * 3):
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, hex(c)
+
+
 def test_special_tokens_are_the_plain_call():
     from tokenizers import Tokenizer
 
