@@ -61,6 +61,28 @@ def probability_context(pairs: DataFrame, p: str = "p1", group: str = "i1", tie:
     return pairs.withColumns(columns | {f"{prefix}_sum": F.sum(p).over(whole), f"{prefix}_n50": F.count_if(F.col(p) > 0.5).over(whole)})
 
 
+def candidate_context_old(pairs: DataFrame, scores: tuple[str, str, str], source: str) -> DataFrame:
+    """The older context: rank, margin and distance to the best of three scores on both sides, of the first also within a record's targets of one source; both sides' candidate counts."""
+    found: dict[str, Column] = {}
+    for group, tie, name in (("i1", "it", "s1"), ("it", "i1", "tg")):
+        for score in scores:
+            columns = group_context(group, score, tie, f"{name}_{score}", gap=True)
+            found |= {f"{name}_n_cand": columns.pop(f"{name}_{score}_size")} | columns
+    columns = group_context("_g", scores[0], "it", f"s1src_{scores[0]}", gap=True)
+    columns.pop(f"s1src_{scores[0]}_size")
+    return pairs.withColumn("_g", F.struct("i1", source)).withColumns(found | columns).drop("_g")
+
+
+def probability_context_old(pairs: DataFrame, p: str = "p1") -> DataFrame:
+    """The older second-stage context of p: rank, margin, distance to the best and sum on both sides, and how many of the record's are over one half."""
+    found: dict[str, Column] = {}
+    for group, tie, name in (("i1", "it", "s1_p1"), ("it", "i1", "tg_p1")):
+        columns = group_context(group, p, tie, name, gap=True)
+        columns.pop(f"{name}_size")
+        found |= columns | {f"{name}_sum": F.sum(p).over(Window.partitionBy(group))}
+    return pairs.withColumns(found | {"s1_n_p50": F.count_if(F.col(p) > 0.5).over(Window.partitionBy("i1"))})
+
+
 def support_pairs(pairs: DataFrame, p: str, keep: list[str], top: int = 6) -> DataFrame:
     """Ordered pairs of different candidates among the `top` of each record by p: i1, it, it_o, p_o, and `keep` columns of both (suffix _o)."""
     best = pairs.withColumn("_r", rank_in("i1", p, "it")).where(F.col("_r") < top).drop("_r").select("i1", "it", F.col(p).alias("p"), *keep)

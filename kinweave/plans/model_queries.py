@@ -85,8 +85,8 @@ def pair_features_v1(spark, sf_dir):
     return rounded(f.withColumns(ctx))
 
 
-#: Small trees, as these queries are about the plan; linkage.fit() has options for larger ones.
-TREES = {"trees": 8, "depth": 4, "leaf": 5}
+#: Trees of the module's own number and depth; smaller leaves, as the tables are small.
+TREES = {"trees": 30, "depth": 5, "leaf": 5}
 
 
 def fitted(spark, sf_dir):
@@ -124,21 +124,21 @@ def labelled(spark, sf_dir):
 @query("isotonic_calibrated")
 def isotonic_calibrated(spark, sf_dir):
     d = linkage.staged(labelled(spark, sf_dir))
-    scored, _ = models.out_of_fold(d, ["symbols", "upper", "spaces"], folds=2, out="raw", trees=5, depth=3, leaf=5)
+    scored, _ = models.out_of_fold(d, ["symbols", "upper", "spaces"], folds=2, out="raw", **TREES)
     return rounded(models.cross_calibrated(linkage.staged(scored), "raw").select("i1", "y", "raw", "p"))
 
 
 @query("auc")
 def auc(spark, sf_dir):
     d = linkage.staged(labelled(spark, sf_dir))
-    scored, _ = models.out_of_fold(d, ["symbols", "upper", "spaces"], folds=3, out="p1")
+    scored, _ = models.out_of_fold(d, ["symbols", "upper", "spaces"], folds=3, out="p1", **TREES)
     return rounded(spark.createDataFrame([(models.auc(linkage.staged(scored), "p1"), d.count())], "auc double, n long"))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     d = linkage.staged(labelled(spark, sf_dir))
-    model = models.fit(d, ["symbols", "upper", "spaces"], trees=5, depth=3, leaf=5)
+    model = models.fit(d, ["symbols", "upper", "spaces"], **TREES)
     return rounded(spark.createDataFrame(models.importances(model, ["symbols", "upper", "spaces"]), "feature string, gain double"))
 
 
@@ -146,7 +146,7 @@ def feature_importance(spark, sf_dir):
 def country_transfer(spark, sf_dir):
     d = linkage.staged(labelled(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i1"), "lang"), "i1"))
     langs = [r["lang"] for r in d.groupBy("lang").agg(F.countDistinct("y").alias("k")).where("k = 2 and lang is not null").orderBy("lang").collect()]
-    found = models.leave_one_out(d, ["symbols", "upper", "spaces"], "lang", langs, trees=5, depth=3, leaf=5)
+    found = models.leave_one_out(d, ["symbols", "upper", "spaces"], "lang", langs, **TREES)
     return rounded(spark.createDataFrame(sorted(found.items()), "lang string, auc double"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
-from ..operators import context, decisions, diagnostics, keys, metrics, statistics
+from ..operators import blocking, context, decisions, diagnostics, keys, metrics, statistics
 from .base import PAIRS, REC, TRUTH, pairs, query, rec, rounded, table, truth
 from .statistics_queries import HITS, KINDS, MASKS, key_input, masks
 
@@ -61,6 +61,37 @@ def candidate_context(spark, sf_dir):
     return rounded(context.candidate_context(pairs(spark, sf_dir).select("i1", "it", "qs", "qn", "qa")).drop("qs", "qn", "qa"))
 
 
+def ctx_gap(group: str, value: str, tie: str, prefix: str) -> str:
+    return f"{ctx(group, value, tie, prefix)}, round(max({value}) OVER (PARTITION BY {group}) - {value}, 6) AS {prefix}_gap_top"
+
+
+@query("candidate_context_v1", f"WITH {PAIRS} SELECT i1, it, " + ", ".join(ctx_gap(g, q, t, f"{n}_{q}") for g, t, n in (("i1", "it", "s1"), ("it", "i1", "tg")) for q in ("qs", "qn", "qa")) + f", {ctx_gap('i1, flag', 'qs', 'it', 's1src_qs')}, (count(*) OVER (PARTITION BY i1))::BIGINT AS s1_n_cand, (count(*) OVER (PARTITION BY it))::BIGINT AS tg_n_cand FROM pairs")
+def candidate_context_v1(spark, sf_dir):
+    p = pairs(spark, sf_dir).select("i1", "it", "qs", "qn", "qa", "flag")
+    return rounded(context.candidate_context_old(p, ("qs", "qn", "qa"), "flag").drop("qs", "qn", "qa", "flag"))
+
+
+@query(
+    "stage2_features_v1",
+    f"""WITH {PAIRS}, t AS (SELECT i1, it, p, qs, flag FROM pairs QUALIFY {rank('i1', 'p', 'it')} <= 10),
+    r AS (SELECT a.i1, a.it, least(1 - abs(a.qs - b.qs), b.p) AS s, a.flag <> b.flag AS x FROM t a JOIN t b ON a.i1 = b.i1 AND a.it <> b.it),
+    s AS (SELECT i1, it, max(s) FILTER (WHERE NOT x) AS a, max(s) FILTER (WHERE x) AS b FROM r GROUP BY i1, it)
+    SELECT i1, it, round(p, 6) AS p1, {ctx_gap('i1', 'p', 'it', 's1_p1')}, {ctx_gap('it', 'p', 'i1', 'tg_p1')}, round(sum(p) OVER (PARTITION BY i1), 6) AS s1_p1_sum, round(sum(p) OVER (PARTITION BY it), 6) AS tg_p1_sum,
+      (count(*) FILTER (WHERE p > 0.5) OVER (PARTITION BY i1))::BIGINT AS s1_n_p50, round(coalesce(a, 0), 6) AS sup_same_src, round(coalesce(b, 0), 6) AS sup_cross_src FROM pairs LEFT JOIN s USING (i1, it)""",
+)
+def stage2_features_v1(spark, sf_dir):
+    """The twelve second-stage columns of the older rules; likeness of targets stands for the cosine of their texts."""
+    p = pairs(spark, sf_dir).withColumnRenamed("p", "p1")
+    r = context.support_pairs(p, "p1", ["qs", "flag"], 10).withColumn("sim", 1 - F.abs(F.col("qs") - F.col("qs_o"))).withColumn("cross", F.col("flag") != F.col("flag_o"))
+    return rounded(context.support(context.probability_context_old(p.select("i1", "it", "p1")), r).drop("sup_n_strong"))
+
+
+@query("cap_by_cosines", f"WITH {PAIRS} SELECT i1, it FROM pairs QUALIFY row_number() OVER (PARTITION BY i1 ORDER BY round(greatest(qs, qn) + 0.01 * num_eq, 9) DESC, it) <= 3")
+def cap_by_cosines(spark, sf_dir):
+    """At most three candidates a record: the cap is the operator."""
+    return blocking.cap_by_cosines(pairs(spark, sf_dir), ["qs", "qn"], 3, "num_eq").select("i1", "it")
+
+
 @query("p_context", f"WITH {PAIRS} SELECT i1, it, {ctx('i1', 'p', 'it', 's1_p1')}, round(sum(p) OVER (PARTITION BY i1), 6) AS s1_p1_sum, (count(*) FILTER (WHERE p > 0.5) OVER (PARTITION BY i1))::BIGINT AS s1_p1_n50 FROM pairs")
 def p_context(spark, sf_dir):
     p = pairs(spark, sf_dir).select("i1", "it", F.col("p").alias("p1"))
@@ -103,17 +134,48 @@ def jaro_winkler_sim(spark, sf_dir):
     return rounded(name_pairs(spark, sf_dir).select("i1", "it", sim.measure("jaro_winkler", "x", "y").alias("s")))
 
 
-def _register_measure(name: str, kind: str) -> None:
-    @query(name)
+def common_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts in SQL: a row of the table by each letter of a."""
+    step = f"list_transform(range(1, length({b}) + 2), lambda j: greatest(row[j], coalesce(list_max(list_transform(range(2, j + 1), lambda k: CASE WHEN ({b})[k - 1] = x THEN row[k - 1] + 1 ELSE 0 END)), 0)))"
+    return f"list_reduce(CASE WHEN {a} = '' THEN [] ELSE string_split({a}, '') END, lambda row, x: {step}, list_transform(range(0, length({b}) + 1), lambda i: 0))[-1]"
+
+
+def indel_sql(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1.0 ELSE 2.0 * {common_sql(a, b)} / (length({a}) + length({b})) END"
+
+
+SORTED = "array_to_string(list_sort(list_filter(string_split({}, ' '), lambda w: w <> '')), ' ')"
+SETS_SQL = f"""n AS ({NAMES_SQL}), t AS (SELECT i1, it, list_distinct(list_filter(string_split(x, ' '), lambda w: w <> '')) AS x, list_distinct(list_filter(string_split(y, ' '), lambda w: w <> '')) AS y FROM n),
+  u AS (SELECT i1, it, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS nb, array_to_string(list_sort(list_filter(x, lambda w: NOT list_contains(y, w))), ' ') AS p,
+        array_to_string(list_sort(list_filter(y, lambda w: NOT list_contains(x, w))), ' ') AS q, length(array_to_string(list_intersect(x, y), ' ')) AS c FROM t),
+  v AS (SELECT *, CASE WHEN c > 0 THEN 1 ELSE 0 END AS g, {common_sql("p", "q")} AS l FROM u)"""
+PARTIAL_SQL = f"""o AS (SELECT i1, it, CASE WHEN length(x) > length(y) THEN y ELSE x END AS a, CASE WHEN length(x) > length(y) THEN x ELSE y END AS b FROM ({NAMES_SQL})),
+  d AS (SELECT DISTINCT a, b FROM o), r AS (SELECT a, b FROM d UNION SELECT b, a FROM d WHERE length(a) = length(b)),
+  w AS (SELECT a, b, substr(b, greatest(i, 0) + 1, least(length(a), length(a) + i)) AS s FROM (SELECT a, b, unnest(range(1 - length(a), length(b))) AS i FROM r)),
+  z AS (SELECT a, b, max({indel_sql("a", "s")}) AS m FROM w GROUP BY a, b)"""
+RATIOS = {
+    "indel_ratio": ("indel", f"WITH n AS ({NAMES_SQL}) SELECT i1, it, round({indel_sql('x', 'y')}, 6) AS s FROM n"),
+    "partial_ratio": ("partial", f"WITH {PARTIAL_SQL} SELECT i1, it, round(greatest(z.m, coalesce(k.m, 0)), 6) AS s FROM o JOIN z USING (a, b) LEFT JOIN z k ON k.a = o.b AND k.b = o.a"),
+    "token_sort_ratio": ("token_sort", f"WITH n AS ({NAMES_SQL}), t AS (SELECT i1, it, {SORTED.format('x')} AS p, {SORTED.format('y')} AS q FROM n) SELECT i1, it, round({indel_sql('p', 'q')}, 6) AS s FROM t"),
+    "token_set_ratio": (
+        "token_set",
+        f"""WITH {SETS_SQL} SELECT i1, it, round(CASE WHEN nx = 0 OR ny = 0 THEN 0.0 WHEN nb > 0 AND (nb = nx OR nb = ny) THEN 1.0 ELSE
+        greatest(1 - (length(p) + length(q) - 2 * l) / (2 * (c + g) + length(p) + length(q)), CASE WHEN c > 0 THEN 1 - (g + length(p)) / (2 * c + g + length(p)) ELSE 0 END, CASE WHEN c > 0 THEN 1 - (g + length(q)) / (2 * c + g + length(q)) ELSE 0 END) END, 6) AS s FROM v""",
+    ),
+}
+
+
+def _register_measure(name: str, kind: str, sql: str) -> None:
+    @query(name, sql)
     def run(spark, sf_dir):
         return rounded(name_pairs(spark, sf_dir).select("i1", "it", sim.measure(kind, "x", "y").alias("s")))
 
 
-for _name, _kind in (("indel_ratio", "indel"), ("partial_ratio", "partial"), ("token_sort_ratio", "token_sort"), ("token_set_ratio", "token_set")):
-    _register_measure(_name, _kind)
+for _name, (_kind, _sql) in RATIOS.items():
+    _register_measure(_name, _kind, _sql)
 
 
-@query("alias_best")
+@query("alias_best", f"WITH n AS ({NAMES_SQL}), w AS (SELECT i1, it, p, unnest(string_split(y, ' ')) AS q FROM (SELECT i1, it, unnest(string_split(x, ' ')) AS p, y FROM n)) SELECT i1, it, round(max(CASE WHEN p = '' OR q = '' THEN 0.0 ELSE {indel_sql('p', 'q')} END), 6) AS s FROM w GROUP BY i1, it")
 def alias_best(spark, sf_dir):
     p = name_pairs(spark, sf_dir).withColumn("a", F.split("x", " ")).withColumn("b", F.split("y", " "))
     return rounded(p.select("i1", "it", sim.measure("alias_best", "a", "b").alias("s")))

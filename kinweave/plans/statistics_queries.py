@@ -191,6 +191,26 @@ def key_block_exact(spark, sf_dir):
     return blocking.exact_block(p.where("rid % 2 = 0"), p.where("rid % 2 = 1"), "key", 500)
 
 
+PART_VECTORS = """tf AS (SELECT p_partkey AS rid, w AS term, count(*) AS tf FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  x AS (SELECT rid, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM part)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term)), nm AS (SELECT rid, sqrt(sum(x * x)) AS norm FROM x GROUP BY rid),
+  vec AS (SELECT rid, term, x / norm AS w FROM x JOIN nm USING (rid))"""
+
+
+@query(
+    "postcode_block_topk",
+    f"""WITH {PART_VECTORS}, l AS (SELECT p_partkey AS i1, p_size || '/' || p_type AS key FROM part WHERE p_partkey % 2 = 0), r AS (SELECT p_partkey AS it, p_size || '/' || p_type AS key FROM part WHERE p_partkey % 2 = 1),
+    g AS (SELECT key FROM r GROUP BY key HAVING count(*) <= 500), b AS (SELECT i1, it FROM l JOIN r USING (key) JOIN g USING (key)),
+    c AS (SELECT i1, it, sum(x.w * y.w) AS c FROM b JOIN vec x ON x.rid = i1 JOIN vec y ON y.rid = it AND y.term = x.term GROUP BY i1, it)
+    SELECT i1, it, round(coalesce(c, 0), 6) AS cos FROM b LEFT JOIN c USING (i1, it) QUALIFY row_number() OVER (PARTITION BY i1 ORDER BY round(coalesce(c, 0), 9) DESC, it) <= 8""",
+)
+def postcode_block_topk(spark, sf_dir):
+    """Records of one block (size and type stand for a postcode), the eight most alike by names."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rid"), F.split(F.lower("p_name"), " ").alias("w"), F.concat_ws("/", "p_size", "p_type").alias("key"))
+    v = staged(blocking.tfidf_vectors(p, "rid", "w"))
+    block = blocking.exact_block(p.where("rid % 2 = 0"), p.where("rid % 2 = 1"), "key", 500)
+    return rounded(blocking.block_top_k(blocking.pair_cosine(block, v.withColumnRenamed("rid", "i1"), v.withColumnRenamed("rid", "it")), "cos", 8))
+
+
 VECTORS = f"""{REC}, tf AS (SELECT doc_id AS rid, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS w FROM rec) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   x AS (SELECT rid, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM rec)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term)), nm AS (SELECT rid, sqrt(sum(x * x)) AS norm FROM x GROUP BY rid),
   vec AS (SELECT rid, term, x / norm AS w FROM x JOIN nm USING (rid))"""

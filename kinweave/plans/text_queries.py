@@ -189,7 +189,12 @@ def address_tokens(spark, sf_dir):
     return inline(spark, ADDRESSES).select("id", F.array_join(address.component_tokens(F.col("t")), " ").alias("words"))
 
 
-@query("street_number")
+@query(
+    "street_number",
+    """SELECT * FROM (VALUES (1, '', '', '', 'larkspur ct dunmore', false), (2, '2207', '', '2207', 'larkspur ct old mills', false), (3, '84', '', '84', 'quarry trailer homes dunmor', false),
+    (4, '', '', '', 'mira paul thazhevettom', false), (5, '4410', '10001', '12 4410 10001', 'main st', false), (6, '12', '69003', '12 69003', 'rue lilas lyon', false),
+    (7, '77', '560001', '5 77 560001', 'elm st', false), (8, '3', '', '3 9', 'oak ave', false)) AS v(id, num1, pc, nums, words, empty)""",
+)
 def street_number(spark, sf_dir):
     p = inline(spark, ADDRESSES).withColumn("p", address.address_parts("t"))
     return p.select("id", "p.num1", "p.pc", F.array_join("p.nums", " ").alias("nums"), F.array_join("p.words", " ").alias("words"), "p.empty")
@@ -204,7 +209,7 @@ def state_lookup(spark, sf_dir):
     return inline(spark, [p.lower() for p in PLACES]).select("id", address.state_of(F.col("t")).alias("state"))
 
 
-@query("street_key")
+@query("street_key", "SELECT * FROM (VALUES (1, 'lrkspr', 'tx'), (2, 'lrkspr', 'tx'), (3, '', 'tx'), (4, '', 'kl'), (5, '', 'ny'), (6, 'ls', 'idf'), (7, 'elm', 'wb'), (8, 'ok', '')) AS v(id, street, state)")
 def street_key(spark, sf_dir):
     p = inline(spark, ADDRESSES).withColumn("p", address.address_parts("t"))
     return p.select("id", F.array_join("p.street", " ").alias("street"), "p.state")
@@ -213,12 +218,12 @@ def street_key(spark, sf_dir):
 INDIC = ["कमल", "আলো", "ਪੰਜਾਬ", "தமிழ்", "Crème Østgård", ""]
 
 
-@query("translit_indic")
+@query("translit_indic", "SELECT * FROM (VALUES (1, 'kamal', true, 'DEVANAGARI'), (2, 'aalo', true, 'BENGALI'), (3, 'panjaab', true, 'GURMUKHI'), (4, 'tamil', true, 'TAMIL'), (5, 'creme østgard', false, ''), (6, '', false, '')) AS v(id, folded, native, script)")
 def translit_indic(spark, sf_dir):
     return inline(spark, INDIC).select("id", text.fold_text("t").alias("folded"), text.is_native("t").alias("native"), text.scripts("t").alias("script"))
 
 
-@query("segment_words")
+@query("segment_words", "SELECT p_partkey, lower(p_name) AS words FROM part")
 def segment_words(spark, sf_dir):
     """Part names run together and split into the words of all part names. The vocabulary (not the rows) is collected."""
     counts = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).groupBy("w").count().collect()
@@ -230,12 +235,20 @@ def segment_words(spark, sf_dir):
     return names.select("p_partkey", F.array_join(text.segment_words("joined", frequency), " ").alias("words"))
 
 
-@query("single_letter_runs")
+@query("single_letter_runs", "SELECT * FROM (VALUES (1, 'abc corp'), (2, 'x'), (3, 'a bc de'), (4, 'an ab')) AS v(id, joined)")
 def single_letter_runs(spark, sf_dir):
     return inline(spark, ["a b c corp", "x", "a bc d e", "an a b"]).select("id", text.join_single_letters("t").alias("joined"))
 
 
-@query("names_and_addresses_v2")
+@query(
+    "names_and_addresses_v2",
+    f"""WITH b AS (SELECT c_custkey AS k, lower(c_mktsegment) AS seg, c_nationkey AS n, c_name || ' ' || c_mktsegment || ' co ltd' AS nm, c_custkey || ' main st, unit ' || c_nationkey || ', oh' AS ad FROM customer),
+    tok AS (SELECT DISTINCT seg AS w FROM b UNION SELECT 'customer'), {SKELETON_SQL},
+    s AS (SELECT b.*, x.s AS s1, y.s AS s2 FROM b JOIN sk x ON x.w = seg JOIN sk y ON y.w = 'customer')
+    SELECT 'S2-' || k AS entity_id, 'customer ' || seg || ' co ltd' AS nm_full, 'customer ' || seg AS nm_core, 'customer ' || seg AS nm_core2, least('customer', seg) || ' ' || greatest('customer', seg) AS nm_key,
+      least(s1, s2) || ' ' || greatest(s1, s2) AS nm_skel, '' AS nm_alias, 'co ltd' AS nm_legal, 'main st' AS ad_words, 'main st' AS ad_wset, CASE WHEN k = n THEN k::VARCHAR ELSE k || ' ' || n END AS ad_nums, '' AS ad_street,
+      'customer' || seg AS nm_nospace, 2 AS nm_ntok, k::VARCHAR AS ad_num1, CASE WHEN k >= 10000 AND k < 1000000 THEN k::VARCHAR ELSE '' END AS ad_pc, 'oh' AS ad_state, false AS ad_empty, lower(nm) || ' | ' || lower(ad) AS txt, false AS is_s3 FROM s""",
+)
 def names_and_addresses_v2(spark, sf_dir):
     """Customers as business records: every cleaned view."""
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("S2-"), "c_custkey").alias("entity_id"), F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit(" co ltd")).alias("business_name"), F.concat("c_custkey", F.lit(" main st, unit "), "c_nationkey", F.lit(", oh")).alias("business_address"), F.lit("US").alias("country"))
@@ -243,7 +256,14 @@ def names_and_addresses_v2(spark, sf_dir):
     return done.select("entity_id", *[F.array_join(x, " ").alias(x) for x in ("nm_full", "nm_core", "nm_core2", "nm_key", "nm_skel", "nm_alias", "nm_legal", "ad_words", "ad_wset", "ad_nums", "ad_street")], "nm_nospace", "nm_ntok", "ad_num1", "ad_pc", "ad_state", "ad_empty", "txt", "is_s3")
 
 
-@query("names_and_addresses_v1")
+@query(
+    "names_and_addresses_v1",
+    """WITH b AS (SELECT s_suppkey AS k, lower(replace(s_name, '#', ' ')) AS nm, substr(s_name, 10) AS num FROM supplier),
+    d AS (SELECT *, string_split(num, '') AS l FROM b), s AS (SELECT *, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), '') AS sk FROM d)
+    SELECT 'S3-' || k AS entity_id, nm || ' svc' AS name_canon, nm || ' svc' AS name_core, nm || ' svc' AS name_aliases, 'ltd pvt' AS name_legal, 'splr ' || sk || ' svc' AS name_skel, k || ' main st ny 10001' AS addr_core,
+      'main st ny' AS addr_words, 'near mkt' AS addr_landmark, k || ' 10001' AS addr_nums, 'mn st ni' AS addr_skel, nm || ' services pvt ltd' AS name_clean, 'ss' AS name_acronym, replace(nm, ' ', '') || 'svc' AS name_nospace,
+      '10001' AS addr_postcode, k::VARCHAR AS addr_house, 'us' AS country_norm, nm || ' svc ' || k || ' main st ny 10001' AS "full", 'S3' AS source FROM s""",
+)
 def names_and_addresses_v1(spark, sf_dir):
     c = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S3-"), "s_suppkey").alias("entity_id"), F.concat("s_name", F.lit(" Services Pvt Ltd")).alias("business_name"), F.concat("s_suppkey", F.lit(" Main Street, near the market, New York 10001-2222")).alias("business_address"), F.lit("United States").alias("country"))
     done = clean.clean_old(c)

@@ -67,6 +67,23 @@ def write_lists(records: DataFrame, links: DataFrame, path: str, column: str = "
     (lists.coalesce(files) if files else lists).write.mode("overwrite").option("sep", "\t").option("quote", "").option("emptyValue", "").option("header", True).csv(path)
 
 
+def write_submission(records: DataFrame, candidates: DataFrame, matches: DataFrame, folder: str, rid: str = "i1", target: str = "it", files: int | None = None) -> None:
+    """Both lists of a submission under a folder, candidates and matches, each with a row for every record, those without any target (such as of a country that has none) included. Matches that are no candidates are left out."""
+    write_lists(records, candidates, f"{folder}/candidate_pairs.tsv", "candidate_entity_ids", rid, target, files)
+    write_lists(records, matches.join(candidates.select(rid, target).distinct(), [rid, target], "left_semi"), f"{folder}/matching_results.tsv", "matched_entity_ids", rid, target, files)
+
+
+def read_settings(spark: SparkSession, path: str, defaults: dict) -> dict:
+    """A JSON file of settings over defaults, from any file system of Spark's; unknown names and other types are errors."""
+    import json
+
+    found = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    for name, value in found.items():
+        if name not in defaults or (defaults[name] is not None and not isinstance(value, type(defaults[name]))):
+            raise ValueError(f"no setting {name!r} of {type(value).__name__}")
+    return defaults | found
+
+
 def list_rows(records: DataFrame, links: DataFrame, column: str = "matched_entity_ids", rid: str = "i1", target: str = "it") -> DataFrame:
     kept = links.where(~F.col(target).startswith("S1-")).groupBy(rid).agg(F.array_join(F.sort_array(F.collect_set(target)), ",").alias(column))
     return records.select(rid).join(kept, rid, "left").select(F.col(rid).alias(TRUTH[0]), F.coalesce(column, F.lit("")).alias(column))

@@ -1,7 +1,11 @@
+import hashlib
+import random
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import blocking, context, decisions, diagnostics, keys, metrics, sampling, statistics
+from kinweave.operators import blocking, context, decisions, diagnostics, keys, metrics, models, sampling, statistics
 from kinweave.sources import tables
 from kinweave.streaming import arrivals
 
@@ -112,3 +116,60 @@ def test_linker_is_kept(spark, tmp_path):
     back = linkage.Linker.load(spark, str(tmp_path / "linker"))
     assert back.columns == ["x"] and back.rule == ("thr", 0.5, 1.0)
     assert models.score(back.first, d, "raw").select("raw").collect() == scored.select("raw").collect()
+
+
+def test_split_groups_is_a_whole_order(spark):
+    ids = spark.range(5000).select(F.concat(F.lit("S1-"), "id").alias("i1"))
+    got = {r["i1"]: r["grp"] for r in sampling.split_groups(ids, "i1", 2000, 1500, 700, 7).collect()}
+    order = sorted((hashlib.md5(f"S1-{i}|7".encode()).hexdigest(), f"S1-{i}") for i in range(5000))
+    assert got == {i: 1 if k < 2000 else 2 if k < 3500 else 3 for k, (_, i) in enumerate(order[:4200])}
+
+
+def test_closure_holds_the_best_claims(spark):
+    pairs = spark.createDataFrame([(1, 10, 0.9), (2, 10, 0.8), (3, 10, 0.7), (4, 10, 0.6), (2, 11, 0.9), (1, 12, 0.1)], "i1 int, it int, qs double")
+    got = {(r["i1"], r["it"]) for r in sampling.closure(pairs, spark.createDataFrame([(1,)], "i1 int"), 3).collect()}
+    assert got == {(1, 10), (1, 12), (2, 10), (3, 10)}
+
+
+def test_text_model_reads_uncertain_pairs(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(400):
+        a = [word(), word(), word()]
+        b = [*a[:2], word()] if i % 2 else [a[0], word(), word()]
+        rows.append((i, " ".join(a), " ".join(b), i % 2, 0.5 if i % 5 else 0.999))
+    pairs = spark.createDataFrame(rows, "id int, a_txt string, b_txt string, y int, p1 double")
+    model = models.fit_text_model(pairs.where("id < 300"))
+    got = models.text_model_scores(model, pairs.where("id >= 300")).collect()
+    assert len(got) == 100 and all((r["ce"] == -1) == (r["id"] % 5 == 0) for r in got)
+    assert models.auc(models.text_model_scores(model, pairs.where("id >= 300 and p1 < 0.9")), "ce") > 0.9
+
+
+def test_submission_files_and_settings(spark, tmp_path):
+    records = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "i1 string")
+    links = lambda *x: spark.createDataFrame(list(x), "i1 string, it string")
+    tables.write_submission(records, links(("S1-1", "S2-1"), ("S1-1", "S3-9"), ("S1-2", "S2-5")), links(("S1-1", "S3-9"), ("S1-2", "S2-7")), str(tmp_path))
+    read = lambda name: {r[0]: r[1] for r in spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/{name}").na.fill("").collect()}
+    assert read("candidate_pairs.tsv") == {"S1-1": "S2-1,S3-9", "S1-2": "S2-5", "S1-3": ""}
+    assert read("matching_results.tsv") == {"S1-1": "S3-9", "S1-2": "", "S1-3": ""}
+    tables.write_report({"top": 5}, spark, f"{tmp_path}/settings")
+    assert tables.read_settings(spark, f"{tmp_path}/settings", {"top": 8, "seed": 7}) == {"top": 5, "seed": 7}
+    with pytest.raises(ValueError):
+        tables.read_settings(spark, f"{tmp_path}/settings", {"seed": 7})
+
+
+def test_sources_and_clean_frames(spark, tmp_path):
+    text = "entity_id\tbusiness_name\tbusiness_address\tcountry\nS2-1\t\"Quoted\" Ltd\t1 Elm St, OH\tUS\nS2-2\tNo Address\t\tFrance\n"
+    with zipfile.ZipFile(tmp_path / "data.zip", "w") as z:
+        z.writestr("in/Train_source2.tsv", text)
+    found = tables.find_files(str(tmp_path))
+    assert list(found) == ["train_source2.tsv"]
+    got = tables.read_source(spark, str(found["train_source2.tsv"])).collect()
+    assert [(r["entity_id"], r["business_name"]) for r in got] == [("S2-1", '"Quoted" Ltd'), ("S2-2", "No Address")]
+    cleaned = spark.createDataFrame([("a", "US"), ("b", "France")], "entity_id string, country string")
+    tables.write_clean(cleaned, str(tmp_path / "clean"))
+    assert [r["entity_id"] for r in tables.read_clean(spark, str(tmp_path / "clean"), "France").collect()] == ["b"] and tables.read_clean(spark, str(tmp_path / "clean")).count() == 2
+    (tmp_path / "sub.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1, S2-2\nS1-2\t\"S2-3\"\n")
+    lines = {r["fields"][0]: (len(r["fields"]), r["quoted"], r["spaced"]) for r in tables.read_lines(spark, str(tmp_path / "sub.tsv")).collect()}
+    assert lines == {"S1-1": (2, False, True), "S1-2": (2, True, False)}
