@@ -2,6 +2,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from kinweave.llm import common, compression, packing, secrets, simhash, tokens
 
@@ -51,3 +53,21 @@ def test_stages_against_brute_force(spark, tmp_path):
     own = tokens.WordTokenizer(packing.vocabulary_path())
     assert sum(len(own.encode(r["text"] or "")) // 4 + 1 for r in before.collect()) == after.selectExpr("sum(length)").first()[0]
     assert corpus_pipeline.run(spark, DATA).count() == after.count()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, tmp_path, empty):
+    words = " ".join(f"word{i} and" for i in range(200))
+    rows = [(1, words, "en", "a"), (1, words, "en", "a"), (2, words + " more", None, None), (3, None, "de", "b"), (None, words, "en", "a"), (None, None, None, None), (4, "", "en", "b"), (5, "lorem ipsum " * 30_000, "en", "a"), (6, 'token = "abcdef123456"', "en", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(3).cast("long") for c in ("n_chars", "size", "key", "fp", "rep", "rows", "taken", "part", "t", "_text", "_id", "_key", "component_id")})
+    docs = docs.limit(0) if empty else docs
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        assert empty == (out.count() == 0) and (name == "pack" or out.columns == docs.columns)
+        if name == "near_dedup" and not empty:
+            kept = [r["doc_id"] for r in out.collect()]
+            assert kept.count(1) <= 1 and kept.count(2) == 0
+        if name == "mix" and not empty:
+            assert all(r["text"] and r["size"] == 3 and r["part"] == 3 for r in out.collect())
+        docs = out
