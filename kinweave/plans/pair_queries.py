@@ -289,12 +289,23 @@ def rule_grid_scores(spark, sf_dir):
     return rounded(sums.crossJoin(F.broadcast(empty)).select("rule", ((F.col("f") + F.col("z") - F.col("z0")) / F.col("n")).alias("macro_f05")))
 
 
-@query("expected_f05_sets")
+def expected_sql(most: int, whole: bool) -> str:
+    """The choice in SQL, by all worlds of a record's candidates: each true or not, weighed by its probability."""
+    bound = "" if whole else f"QUALIFY r <= {most}"
+    return f"""WITH {PAIRS}, r AS (SELECT i1, it, p, row_number() OVER (PARTITION BY i1 ORDER BY p DESC, it) AS r FROM pairs WHERE p > 1e-4 {bound}),
+    n AS (SELECT i1, max(r)::INT AS n FROM r GROUP BY i1), w AS (SELECT i1, n, unnest(range(0, (1::BIGINT << n)::BIGINT)) AS w FROM n),
+    x AS (SELECT i1, n, w, product(CASE WHEN (w >> (r - 1)::INT) & 1 = 1 THEN p ELSE 1 - p END) AS q FROM w JOIN r USING (i1) GROUP BY i1, n, w),
+    k AS (SELECT i1, w, q, unnest(range(0, least(n, {most}) + 1)) AS k FROM x), t AS (SELECT *, bit_count(w) AS truly, bit_count(w & ((1::BIGINT << k::INT) - 1)) AS tp FROM k),
+    e AS (SELECT i1, k, round(sum(q * CASE WHEN k = 0 THEN (truly = 0)::INT WHEN tp = 0 THEN 0 ELSE 1.25 * tp / (1.25 * tp + 0.25 * (truly - tp) + (k - tp)) END), 11) AS e FROM t GROUP BY i1, k),
+    b AS (SELECT i1, k FROM e QUALIFY row_number() OVER (PARTITION BY i1 ORDER BY e DESC, k) = 1) SELECT i1, it FROM r JOIN b USING (i1) WHERE r <= k"""
+
+
+@query("expected_f05_sets", expected_sql(12, False))
 def expected_f05_sets(spark, sf_dir):
     return decisions.expected_f05_sets(pairs(spark, sf_dir).select("i1", "it", "p")).select("i1", "it")
 
 
-@query("expected_f05_sets_whole")
+@query("expected_f05_sets_whole", expected_sql(20, True))
 def expected_f05_sets_whole(spark, sf_dir):
     return decisions.expected_f05_sets(pairs(spark, sf_dir).select("i1", "it", "p"), most=20, whole=True).select("i1", "it")
 

@@ -173,7 +173,8 @@ MASKS = f"{HITS}, masks AS (SELECT i1, it, bit_or(bit)::BIGINT AS keymask FROM h
 
 
 def masks(spark, sf_dir):
-    return blocking.candidate_pairs(hits(spark, sf_dir)).withColumn("keymask", F.col("keymask").cast("long"))
+    """The candidates of all kinds; staged, as reports read them several times."""
+    return staged(blocking.candidate_pairs(hits(spark, sf_dir)).withColumn("keymask", F.col("keymask").cast("long")))
 
 
 @query("keymask_pairs", f"WITH {MASKS} SELECT i1, it, keymask FROM masks")
