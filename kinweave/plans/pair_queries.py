@@ -428,6 +428,43 @@ def noise_flags(spark, sf_dir):
     return rounded(diagnostics.noise_audit(q, "x", "y", "lang").select("lang", "n", *FLAG_SQL))
 
 
+#: Pairs of a record and its copy with one kind of noise each: names, addresses, countries, source of the copy.
+NOISY = [
+    ("Acme Tools", "Acme Tools", "1 Elm St", "1 Elm St", "US", "US", "S2"), ("Acme Tools", "ACME TOOLS", "1 Elm St", "1 ELM ST", "US", "US", "S2"), ("Acme Tools", "tools acme", "1 Elm St", "Elm St 1", "US", "US", "S3"),
+    ("Acme Tools", "Àcme Tools", "1 Elm St", "", "US", "US", "S3"), ("Acme Tools", "www.acme.com", "12 Elm St", "012 Elm St", "US", "India", "S2"), ("Acme Tools", "Acm3 Tools", "1 Elm St", "null, Elm St", "US", "US", "S2"),
+    ("Acme Tools", "** Acme Tools (old)", "1 Elm St", "1 Elm St, Unit 4", "US", "US", "S3"), ("Acme Tools", "Acme  Acme Tools #12 | x", "1 Elm St", "2 Elm St", "US", "US", "S3"), ("Acme Tools", "कमल", "1 Elm St", "कमल 1", "India", "India", "S2"),
+    ("Acme Tools", "Best Shop", "Elm St", "Elm St", "US", "US", "S2"), ("Acme Tools", "Acme", "", "", "France", "France", "S3"), ("", "", "", "", "US", "US", "S2"),
+]
+NOISY_SQL = ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in NOISY)
+PART_PAIRS_SQL = "SELECT a.p_name AS an, b.p_name AS bn, a.p_size || ' ' || a.p_type AS aa, b.p_size || ' ' || b.p_type AS ba, a.p_brand AS ca, b.p_brand AS cb, 'S' || (2 + a.p_partkey % 2) AS src FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
+RECORD_FLAGS_SQL = {
+    "name_exact": "an = bn", "name_exact_casefold": "trim(fa) = trim(fb)", "name_same_tokens_ordered": "ta = tb", "name_same_token_set": "len(ab) = 0 AND len(ba_) = 0", "name_nonlatin": "nonlatin", "name_domain": "dom",
+    "name_all_upper": "upper(bn) = bn AND lower(bn) <> bn", "name_all_lower": "lower(bn) = bn AND upper(bn) <> bn", "name_accent_injected": "fb <> lower(bn) AND fa = lower(an) AND NOT nonlatin",
+    "name_leet_digit": "regexp_matches(lower(bn), '[a-z][0-9][a-z]|[a-z][0-9]\\b') AND NOT regexp_matches(lower(an), '[a-z][0-9]')", "name_leading_junk": "regexp_matches(trim(bn), '^[^\\p{L}\\p{N}_]')",
+    "name_brackets": "regexp_matches(bn, '[\\[\\](){}]') AND NOT regexp_matches(an, '[\\[\\](){}]')", "name_hash_number": "regexp_matches(bn, '#\\s*[0-9]+')", "name_pipe_suffix": "contains(bn, '|')",
+    "name_dup_token": "len(list_filter(tb, lambda w, i: i > 1 AND w = tb[i - 1])) > 0", "name_double_space": "contains(bn, '  ')", "name_subset": "len(ba_) = 0 AND len(ab) > 0", "name_superset": "len(ab) = 0 AND len(ba_) > 0",
+    "name_token_overlap0": "NOT nonlatin AND len(list_intersect(ta, tb)) = 0 AND NOT dom", "addr_empty": "trim(ba) = ''", "addr_null_literal": "regexp_matches(lower(ba), '\\bnull\\b')", "addr_nonlatin": "regexp_matches(ba, '[ऀ-ൿ]')",
+    "addr_exact": "aa = ba", "addr_same_token_set": "len(xab) = 0 AND len(xba) = 0", "addr_reordered": "len(xab) = 0 AND len(xba) = 0 AND xa <> xb", "addr_first_num_equal": "coalesce(na = nb, false)",
+    "addr_first_num_lead0": "coalesce(na <> nb AND ltrim(nb, '0') = na, false)", "addr_num_missing": "na IS NOT NULL AND nb IS NULL AND trim(ba) <> ''", "addr_all_upper": "upper(ba) = ba AND lower(ba) <> ba", "country_mismatch": "ca <> cb",
+}
+RECORD_AUDIT_SQL = f"""WITH p AS (SELECT * FROM (VALUES {NOISY_SQL}) AS v(an, bn, aa, ba, ca, cb, src) UNION ALL {PART_PAIRS_SQL}),
+  f AS (SELECT *, lower(strip_accents(an)) AS fa, lower(strip_accents(bn)) AS fb, regexp_extract_all(lower(strip_accents(an)), '[a-z0-9]+') AS ta, regexp_extract_all(lower(strip_accents(bn)), '[a-z0-9]+') AS tb,
+        regexp_extract_all(lower(strip_accents(aa)), '[a-z0-9]+') AS xa, regexp_extract_all(lower(strip_accents(ba)), '[a-z0-9]+') AS xb, regexp_matches(bn, '[ऀ-ൿ]') AS nonlatin, regexp_matches(lower(bn), '\\.(com|in|net|org|co|fr|io|biz)\\b') AS dom FROM p),
+  g AS (SELECT *, list_filter(ta, lambda w: NOT list_contains(tb, w)) AS ab, list_filter(tb, lambda w: NOT list_contains(ta, w)) AS ba_, list_filter(xa, lambda w: NOT list_contains(xb, w)) AS xab, list_filter(xb, lambda w: NOT list_contains(xa, w)) AS xba,
+        list_filter(xa, lambda w: regexp_matches(w, '^[0-9]+$'))[1] AS na, list_filter(xb, lambda w: regexp_matches(w, '^[0-9]+$'))[1] AS nb FROM f)
+  SELECT coalesce(src, 'ALL') AS src, count(*)::BIGINT AS n, {", ".join(f"round(avg(({c})::INT), 6) AS {k}" for k, c in RECORD_FLAGS_SQL.items())} FROM g GROUP BY ROLLUP (src)"""
+
+
+@query("noise_audit_records", RECORD_AUDIT_SQL)
+def noise_audit_records(spark, sf_dir):
+    """The thirty flags of records on noisy copies and on neighbouring parts, whose size and type stand for an address and whose brand for a country."""
+    a = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("n"), F.concat_ws(" ", "p_size", "p_type").alias("a"), F.col("p_brand").alias("c"))
+    b = a.toDF("k", "bn", "ba", "cb")
+    parts = a.join(b, F.col("k") == F.col("p_partkey") + 1).select(F.col("n").alias("an"), "bn", F.col("a").alias("aa"), "ba", F.col("c").alias("ca"), "cb", F.concat(F.lit("S"), 2 + F.col("p_partkey") % 2).alias("src"))
+    noisy = spark.createDataFrame(NOISY, "an string, bn string, aa string, ba string, ca string, cb string, src string")
+    return rounded(diagnostics.record_audit(noisy.unionByName(parts), "src", ("an", "bn", "aa", "ba", "ca", "cb")))
+
+
 @query("noise_flags_all")
 def noise_flags_all(spark, sf_dir):
     """All thirty flags on names of parts and suppliers."""
