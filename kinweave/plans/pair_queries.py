@@ -465,7 +465,20 @@ def noise_audit_records(spark, sf_dir):
     return rounded(diagnostics.record_audit(noisy.unionByName(parts), "src", ("an", "bn", "aa", "ba", "ca", "cb")))
 
 
-@query("noise_flags_all")
+TEXT_FLAGS_SQL = {
+    "exact": "x = y", "casefold": "lower(x) = lower(y)", "same_words": "lost = 0 AND new = 0", "fewer_words": "lost > 0 AND new = 0", "more_words": "lost = 0 AND new > 0", "other_words": "lost > 0 AND new > 0", "empty": "trim(y) = ''",
+    "accent": "regexp_matches(y, '[À-ɏ]')", "non_latin": "regexp_matches(y, '[Ͱ-῿]')", "domain": "regexp_matches(lower(y), '[a-z0-9-]+\\.(com|co\\.in|in|net|org|co|fr|biz|io|info)')", "handle": "regexp_matches(y, '(^|\\s)[#@][A-Za-z0-9]{3,}')",
+    "upper": "regexp_matches(y, '[A-Za-z]') AND upper(y) = y", "lower": "regexp_matches(y, '[A-Za-z]') AND lower(y) = y", "leet": "regexp_matches(y, '[A-Za-z][0134]+[A-Za-z]')", "brackets": "regexp_matches(y, '[()\\[\\]]')", "pipe": "contains(y, '|')",
+    "ampersand": "contains(y, '&')", "apostrophe": "contains(y, chr(39)) OR contains(y, '’')", "junk_prefix": "regexp_matches(y, '^[^A-Za-z0-9À-ɏ]')", "double_space": "contains(y, '  ')",
+    "repeated_word": "len(list_filter(string_split(lower(y), ' '), lambda w, i: i > 1 AND w <> '' AND w = string_split(lower(y), ' ')[i - 1])) > 0", "has_number": "len(ny) > 0", "same_numbers": "nlost = 0 AND nnew = 0", "number_lost": "nlost > 0", "number_new": "nnew > 0",
+    "shorter": "length(y) < length(x)", "longer": "length(y) > length(x)", "comma_count": "length(replace(x, ',', '')) - length(x) <> length(replace(y, ',', '')) - length(y)", "first_word_same": "coalesce(wx[1] = wy[1], false)", "null_word": "regexp_matches(lower(y), '\\b(null|none)\\b')",
+}
+TEXT_AUDIT_SQL = f"""WITH n AS ({NAMES_SQL}), w AS (SELECT (it > 0)::VARCHAR AS by_, x, y, regexp_extract_all(lower(x), '[a-z0-9]+') AS wx, regexp_extract_all(lower(y), '[a-z0-9]+') AS wy, regexp_extract_all(x, '[0-9]+') AS nx, regexp_extract_all(y, '[0-9]+') AS ny FROM n),
+  f AS (SELECT *, len(list_filter(wx, lambda v: NOT list_contains(wy, v))) AS lost, len(list_filter(wy, lambda v: NOT list_contains(wx, v))) AS new, len(list_filter(nx, lambda v: NOT list_contains(ny, v))) AS nlost, len(list_filter(ny, lambda v: NOT list_contains(nx, v))) AS nnew FROM w)
+  SELECT coalesce(by_, 'ALL') AS by, count(*)::BIGINT AS n, {", ".join(f"round(avg(({c})::INT), 6) AS {k}" for k, c in TEXT_FLAGS_SQL.items())} FROM f GROUP BY ROLLUP (by_)"""
+
+
+@query("noise_flags_all", TEXT_AUDIT_SQL)
 def noise_flags_all(spark, sf_dir):
     """All thirty flags on names of parts and suppliers."""
     return rounded(diagnostics.noise_audit(name_pairs(spark, sf_dir).withColumn("by", (F.col("it") > 0).cast("string")), "x", "y", "by"))
