@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..operators import blocking, clean, context, decisions, features, models, statistics
-from . import linkage
+from . import linkage, linkage_old
 from .base import query, rec, rounded, table
 from .statistics_queries import MASKS, masks
 
@@ -60,29 +60,38 @@ def pair_features_v2(spark, sf_dir):
     return rounded(linkage.featured_pairs(a, b, linkage.scored_pairs(a, b, raw)))
 
 
+def cleaned_old(spark, sf_dir):
+    one, targets, truth = business(spark, sf_dir)
+    a, b = (linkage.staged(clean.clean_old(x).withColumnRenamed("entity_id", "rid")) for x in (one, targets))
+    return a, b, truth
+
+
+@query("candidates_v1")
+def candidates_v1(spark, sf_dir):
+    """What the six older retrievers find, at most 80 pairs a record: the cap is the operator."""
+    a, b, _ = cleaned_old(spark, sf_dir)
+    both = a.unionByName(b)
+    return rounded(linkage_old.retrieved(a, b, {v: linkage_old.view(both, v) for v in ("name_char", "full_char", "full_word")}))
+
+
 @query("pair_features_v1")
 def pair_features_v1(spark, sf_dir):
-    """The older features: exact blocks and cosine top-k as retrievers, evidence of weighed tokens, context of cosines."""
-    one, targets, _ = business(spark, sf_dir)
-    a, b = clean.clean_old(one).withColumn("rid", F.col("entity_id")), clean.clean_old(targets).withColumn("rid", F.col("entity_id"))
-    both = a.unionByName(b)
-    n = F.lit(both.count())
-    for words, out in (("name_core", "name_idf"), ("addr_words", "addr_idf")):
-        weights = statistics.idf_smooth(statistics.document_counts(both, words), n)
-        a, b = (x.join(statistics.weigh_tokens(x, "rid", words, weights, 12.0, out), "rid") for x in (a, b))
-    exact = blocking.exact_block(a.select("rid", F.col("name_nospace").alias("key")), b.select("rid", F.col("name_nospace").alias("key")), "key", 50).withColumn("blocker", F.lit("D"))
-    house = blocking.exact_block(a.select("rid", F.concat_ws("|", "addr_house", "addr_postcode", F.get("name_core", F.lit(0))).alias("key")), b.select("rid", F.concat_ws("|", "addr_house", "addr_postcode", F.get("name_core", F.lit(0))).alias("key")), "key", 500).withColumn("blocker", F.lit("E"))
-    v = blocking.tfidf_vectors(both, "rid", "name_core")
-    left = v.join(a.select("rid"), "rid", "left_semi").withColumnRenamed("rid", "i1")
-    right = v.join(b.select("rid"), "rid", "left_semi").withColumnRenamed("rid", "it")
-    cos = blocking.cosine(left, right)
-    near = blocking.top_k(cos, "i1", "cos", "it", 15).select("i1", "it", F.lit("A").alias("blocker"))
-    back = blocking.top_k(cos, "it", "cos", "i1", 3).select("i1", "it", F.lit("R").alias("blocker"))
-    flags = blocking.blocker_flags(near.unionByName(back).unionByName(exact).unionByName(house), ["A", "D", "E", "R"])
-    pairs = flags.join(blocking.pair_cosine(flags, left, right), ["i1", "it"])
-    f = features.pair_features_old(features.attach(pairs, a.withColumnRenamed("rid", "i1").drop("entity_id"), b.withColumnRenamed("rid", "it").drop("entity_id"), features.OLD_NEEDED))
-    ctx = context.group_context("i1", "cos", "it", "s1_cos", gap=True) | context.group_context("it", "cos", "i1", "tg_cos", gap=True)
-    return rounded(f.withColumns(ctx))
+    """The older features of the older candidates, with their seven contexts."""
+    a, b, _ = cleaned_old(spark, sf_dir)
+    return rounded(linkage_old.featured(a, b))
+
+
+@query("two_stage_v1")
+def two_stage_v1(spark, sf_dir):
+    """The older path whole: features, out-of-fold first stage, its context and support, second stage; p of all pairs, out of fold."""
+    a, b, truth = cleaned_old(spark, sf_dir)
+    pairs = linkage.staged(linkage_old.featured(a, b))
+    marked = linkage.staged(pairs.join(truth.withColumn("y", F.lit(1)), ["i1", "it"], "left").withColumn("y", F.coalesce("y", F.lit(0))))
+    columns = [c for c in pairs.columns if c not in ("i1", "it")]
+    p1, _ = models.out_of_fold(marked, columns, folds=2, **TREES)
+    both = linkage.staged(linkage_old.second_stage(linkage.staged(p1), linkage_old.view(a.unionByName(b), "full_char")))
+    scored, _ = models.out_of_fold(both, [c for c in both.columns if c not in ("i1", "it", "y", "fold")], folds=2, out="p", **TREES)
+    return rounded(scored.select("i1", "it", "y", "p1", "p"))
 
 
 #: Trees of the module's own number and depth; smaller leaves, as the tables are small.

@@ -1,4 +1,6 @@
+import collections
 import hashlib
+import math
 import random
 import zipfile
 
@@ -6,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import blocking, context, decisions, diagnostics, keys, metrics, models, sampling, statistics
+from kinweave.plans import linkage_old
 from kinweave.sources import tables
 from kinweave.streaming import arrivals
 
@@ -173,3 +176,50 @@ def test_sources_and_clean_frames(spark, tmp_path):
     (tmp_path / "sub.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1, S2-2\nS1-2\t\"S2-3\"\n")
     lines = {r["fields"][0]: (len(r["fields"]), r["quoted"], r["spaced"]) for r in tables.read_lines(spark, str(tmp_path / "sub.tsv")).collect()}
     assert lines == {"S1-1": (2, False, True), "S1-2": (2, True, False)}
+
+
+def test_older_retrieval_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(linkage_old, "MOST", {"A": 3, "B": 3, "C": 2, "D": 1, "R": 1, "cap": 5})
+    rnd = random.Random(6)
+    word = lambda: rnd.choice(["ab", "abc", "bca", "cab", "caba", "bb", "a"])
+    rows = [(i, "S1" if i < 12 else "S2" if i % 2 else "S3", [word() for _ in range(rnd.randint(0, 3))], " ".join(word() for _ in range(4)), rnd.choice(["", "10001", "10002"])) for i in range(40)]
+    records = spark.createDataFrame([(i, s, n, f, p, "".join(n)) for i, s, n, f, p in rows], "rid int, source string, name_core array<string>, full string, addr_postcode string, name_nospace string")
+    a, b = records.where("source = 'S1'"), records.where("source <> 'S1'")
+    got = {(r["i1"], r["it"]): r.asDict() for r in linkage_old.retrieved(a, b, {v: linkage_old.view(records, v) for v in ("name_char", "full_char", "full_word")}).collect()}
+
+    def vectors(texts, low, high):
+        def terms(t):
+            return t.split() if not high else [w[i : i + n] for w in (f" {x} " for x in t.split()) for n in range(low, high + 1) for i in range(len(w) - n + 1)]
+
+        counts = {i: collections.Counter(terms(t)) for i, t in texts.items()}
+        df = collections.Counter(w for c in counts.values() for w in c)
+        raw = {i: {w: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, n in c.items()} for i, c in counts.items()}
+        return {i: {w: x / math.sqrt(sum(v * v for v in c.values())) for w, x in c.items()} for i, c in raw.items()}
+
+    name = vectors({r[0]: " ".join(r[2]) for r in rows}, 2, 4)
+    full = vectors({r[0]: r[3] for r in rows}, 3, 5)
+    words = vectors({r[0]: r[3] for r in rows}, 0, 0)
+    cos = lambda v, i, j: sum(x * v[j].get(w, 0) for w, x in v[i].items())
+    best = lambda found, k: [j for _, j in sorted(found, key=lambda x: (-round(x[0], 9), x[1]))[:k]]
+    flags = collections.defaultdict(set)
+    for source in ("S2", "S3"):
+        left, right = [r for r in rows if r[1] == "S1"], [r for r in rows if r[1] == source]
+        for q in left:
+            for k, v in (("A", name), ("B", full), ("C", words)):
+                for j in best([(c, t[0]) for t in right if (c := cos(v, q[0], t[0])) > 0], linkage_old.MOST[k]):
+                    flags[q[0], j].add(k)
+            for j in best([(cos(name, q[0], t[0]), t[0]) for t in right if q[4] and q[4] == t[4]], 1):
+                flags[q[0], j].add("D")
+            for t in right:
+                if q[2] and "".join(q[2]) == "".join(t[2]):
+                    flags[q[0], t[0]].add("E")
+        for t in right:
+            for i in best([(c, q[0]) for q in left if (c := cos(full, q[0], t[0])) > 0], 1):
+                flags[i, t[0]].add("R")
+    want = set()
+    for i in range(12):
+        mine = [(max(cos(name, i, j), cos(full, i, j)) + 0.01 * len(k), j) for (x, j), k in flags.items() if x == i]
+        want |= {(i, j) for j in best(mine, 5)}
+    assert got.keys() == want
+    for pair, r in got.items():
+        assert {k for k in "ABCDER" if r[f"blk_{k}"]} == flags[pair] and r["cos_full_char"] == pytest.approx(cos(full, *pair))

@@ -32,6 +32,6 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["quick_score", "pair_features_v2", "pair_features_v1", "isotonic_calibrated", "auc", "feature_importance", "match_two_stage", "translit_indic", "segment_words", "names_and_addresses_v1", "names_and_addresses_v2", "noise_flags_all", "token_set_ratio"])
+@pytest.mark.parametrize("name", ["quick_score", "pair_features_v2", "pair_features_v1", "isotonic_calibrated", "auc", "feature_importance", "match_two_stage", "candidates_v1", "two_stage_v1"])
 def test_query_runs(spark, name):
     assert catalogue.queries()[name](spark, DATA).count() > 0
