@@ -35,7 +35,8 @@ def quality_of(text: Column) -> Column:
 
 def sampling_key(doc_id: Column, text: Column, quality: Column, seed: int) -> Column:
     """One less the Efraimidis-Spirakis key u^(1/quality): the least come first. u in (0, 1) hashes id and text, so that null and repeated ids spread."""
-    u = (F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), text, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    digits = F.substring(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(text), F.lit(str(seed)))), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
     return 1 - F.pow(u, 1 / quality)
 
 
@@ -135,3 +136,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+q AS (
+  SELECT doc_id, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(t) || '|8'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u,
+         CASE WHEN length(t) > 0 THEN greatest(0.1::DOUBLE, 1 - 4 * len(regexp_extract_all(t, '[#*$%&|<>]'))::DOUBLE / length(t)
+           - CASE WHEN contains(t, chr(10)) THEN 1 - len(list_distinct(lines))::DOUBLE / greatest(len(lines), 1) ELSE 0::DOUBLE END) ELSE 1::DOUBLE END AS quality FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM q GROUP BY source),
+r AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS w, row_number() OVER (ORDER BY source IS NULL, source) AS rank, 2.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, cap / w AS met, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level
+      FROM r WINDOW f AS (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT (SELECT level FROM l WHERE level <= met ORDER BY met, rank LIMIT 1) AS final),
+t AS (SELECT source, source_size, CASE WHEN final IS NULL OR w * final >= cap THEN cap ELSE w * final END AS target FROM l, x),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs, round(target)::BIGINT AS goal FROM t),
+o AS (SELECT q.*, source_size, target, epochs, goal - epochs * source_size AS rest,
+             coalesce(sum(size) OVER (PARTITION BY q.source ORDER BY 1 - pow(u, 1 / quality), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS so_far
+      FROM q JOIN g ON q.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - so_far)))::BIGINT AS taken FROM o
+"""
