@@ -16,7 +16,7 @@ QUERIES = (
     compression.op9_quality_compression,
     urls.op10_url_filters,
 )
-ORACLES = {"op8_mix_sources": mixing.ORACLE_SQL, "op5_quality_rules": rules.ORACLE_SQL, "op10_url_filters": urls.ORACLE_SQL}
+ORACLES = {"op3_secret_scans": secrets.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL, "op5_quality_rules": rules.ORACLE_SQL, "op10_url_filters": urls.ORACLE_SQL}
 
 
 def queries() -> dict:

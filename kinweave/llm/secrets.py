@@ -10,6 +10,7 @@ within a kind) are worked out only in the stretches between two such places that
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -420,7 +421,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_col
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
     """Docs with every secret in the text replaced by `mark`, overlapping ones by one mark; texts without secrets, nulls included, stay as they are.
 
-    All columns pass through; only the text column, found by its place, is rewritten, a few MB of text at a time.
+    All columns pass through (n_chars too, which then counts the old text); only the text column, found by its place, is rewritten,
+    a few MB of text at a time. Rows with null ids and repeated rows stay; an empty table gives an empty result.
     """
     scanner, place, stamp = scanner_of(rules), docs.columns.index(text_col), mark.encode()
 
@@ -458,3 +460,27 @@ def op3_secret_scans(spark, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
     return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def _oracle(rules: tuple[Rule, ...] = BASE + ADDED) -> str:
+    """The query in SQL: each rule marks its matches in the text; where a match begins, the lengths of what is before it tell."""
+
+    def plain(pattern: str) -> str:  # letters in either case as classes, for ASCII alone
+        return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern).replace("'", "''")
+
+    found = " UNION ALL ".join(
+        f"SELECT r, {k} AS k, '{rule.kind}' AS kind, {rule.min_body} AS least, '^(?:{plain(rule.head)})' AS head, string_split(regexp_replace(t, '(?:{plain(rule.head)})(?:{plain(rule.body)})', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS c FROM d WHERE regexp_matches(t, '(?:{plain(rule.head)})(?:{plain(rule.body)})')"
+        for k, rule in enumerate(rules)
+    )
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    counts = ", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE)
+    sums = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+    u AS (SELECT *, unnest(range(2, len(c) + 1)) AS i FROM f),
+    m AS (SELECT r, k, kind, least, head, split_part(c[i], chr(2), 1) AS s, list_sum(list_transform(c[1:i - 1], lambda x: length(replace(x, chr(2), ''))))::BIGINT AS b FROM u),
+    x AS (SELECT r, k, kind, b, kind || ':' || b || ':' || (b + length(s)) AS span FROM m WHERE length(s) - CASE WHEN head = '^(?:)' THEN 0 ELSE length(regexp_extract(s, head)) END >= least),
+    g AS (SELECT r, {sums}, string_agg(span, ',' ORDER BY b, k) AS spans, string_agg(span, ',' ORDER BY b, k) FILTER (WHERE kind IN ({base})) AS base FROM x GROUP BY r)
+    SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
+ORACLE_SQL = _oracle()
