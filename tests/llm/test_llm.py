@@ -547,7 +547,7 @@ def test_a_common_head_hides_no_partner(spark, few, monkeypatch):
     rows += [(200 + i, tones(970 + i, 2)) for i in range(5)]
     rows += [(300, np.concatenate([songs[0], tones(950, 1), songs[1]]))]  # holds parts of two others
     found = [(i, audio.codes(x.tobytes())) for i, x in rows]
-    classes = spark.createDataFrame([(i, bytearray(c.astype("<u4").tobytes())) for i, c in found], "rep long, codes binary")
+    classes = spark.createDataFrame([(i, bytearray(c.astype("<u4").tobytes()), audio.all_keys(x.tobytes(), c, audio.Format()).tolist()) for (i, c), (_, x) in zip(found, rows, strict=True)], "rep long, codes binary, keys array<long>")
     links = {(r["rep"], r["head"]): r for r in audio.alignments(classes).collect()}
     want = brute_links(found)
     assert links.keys() <= want
