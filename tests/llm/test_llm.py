@@ -492,11 +492,11 @@ def brute_links(found):
 def test_fingerprints_of_recordings(spark, docs):
     assert len(set(audio.FILTERS)) == 16
     song = tones(3)
-    rows = [(1, tones(1)), (3, song), (4, song), (5, None), (6, b""), (None, song), (7, song[:200]), (7, song[:200]), (8, np.full(4000, 128, np.uint8)), (9, song[128 * 30 :])]
+    rows = [(1, tones(1)), (3, song), (4, song), (5, None), (6, b""), (None, song), (7, song[:200]), (7, song[:200]), (8, np.full(4000, 128, np.uint8)), (9, song[128 * 30 :]), (11, tones(11)), (11, tones(12))]
     got = {}
     for r in audio.align_recordings(media(spark, rows), "id", "data").collect():
         got.setdefault(r["id"], []).append(r)
-    assert sum(map(len, got.values())) == len(rows) and len(got[7]) == 2
+    assert sum(map(len, got.values())) == len(rows) and len(got[7]) == 2 and sorted(str(r["class_id"]) for r in got[11]) == ["11", "None"]
     assert got[4][0]["class_id"] == got[3][0]["class_id"] == 3 and got[8][0]["class_id"] == 8 and got[7][0]["class_id"] == 7
     assert got[None][0]["class_id"] is None and got[None][0]["fingerprint"] == got[3][0]["fingerprint"]
     assert all(got[i][0]["n_frames"] == 0 and got[i][0]["class_id"] is None and got[i][0]["fingerprint"] is None for i in (5, 6))
@@ -541,14 +541,15 @@ def test_offsets_count_all_places(monkeypatch):
 
 @pytest.mark.parametrize("few", [1000, audio.FEW, 3])
 def test_a_common_head_hides_no_partner(spark, few, monkeypatch):
-    monkeypatch.setattr(audio, "candidates", lambda table, plain=audio.candidates: plain(table, few))
+    monkeypatch.setattr(audio, "candidates", lambda table, code, plain=audio.candidates: plain(table, code, few))
     jingle, songs = tones(900, 2), [tones(901 + i, 2) for i in range(12)]
     rows = [(0, jingle)] + [(1 + i, np.concatenate([jingle, s])) for i, s in enumerate(songs)] + [(101 + i, np.concatenate([jingle, s])[50 * i : -audio.HOP * 20]) for i, s in enumerate(songs)]
     rows += [(200 + i, tones(970 + i, 2)) for i in range(5)]
     rows += [(300, np.concatenate([songs[0], tones(950, 1), songs[1]]))]  # holds parts of two others
     found = [(i, audio.codes(x.tobytes())) for i, x in rows]
-    classes = spark.createDataFrame([(i, bytearray(c.astype("<u4").tobytes()), audio.all_keys(x.tobytes(), c, audio.Format()).tolist()) for (i, c), (_, x) in zip(found, rows, strict=True)], "rep long, codes binary, keys array<long>")
-    links = {(r["rep"], r["head"]): r for r in audio.alignments(classes).collect()}
+    classes = spark.createDataFrame([(i, len(c), audio.all_keys(x.tobytes(), c, audio.Format()).tolist()) for (i, c), (_, x) in zip(found, rows, strict=True)], "rep long, n long, keys array<long>")
+    code = spark.createDataFrame([(i, bytearray(c.astype("<u4").tobytes())) for i, c in found], "rep long, codes binary")
+    links = {(r["rep"], r["head"]): r for r in audio.alignments(classes, code).collect()}
     want = brute_links(found)
     assert links.keys() <= want
     if few == 1000:
