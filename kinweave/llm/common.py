@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, key: str, row_bytes: int, task_bytes: int = 16 << 20) -> DataFrame:
+    """df, which is cut, in so many partitions that what a task makes of its rows, row_bytes of each, is about task_bytes at most."""
+    parts = -(-df.count() * row_bytes // task_bytes)
+    return df.repartition(parts, key) if parts > df.rdd.getNumPartitions() else df
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_key, map_texts
+from .common import cut, join_by_key, map_texts, spread
 from .graph import components
 
 SEED = 42
@@ -131,7 +131,7 @@ def near_edges(classes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Data
     """Edges (a, b) between distinct fingerprints `fp` of `classes`; their connected components are those of all pairs within `radius` bits."""
     masks = covering_masks(radius)
     table = F.explode(F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks)]))
-    keys = classes.select("fp", table.alias("x")).select(F.col("x").alias("key"), "fp")
+    keys = spread(classes, "fp", 24 * len(masks)).select("fp", table.alias("x")).select(F.col("x").alias("key"), "fp")
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n >= 2")
     buckets = cut(buckets)
     twos = buckets.where("n = 2").where(_distance("a", "b") <= radius).select("a", "b")
@@ -218,7 +218,7 @@ def similar_edges(classes: DataFrame, similarity: float = SIMILARITY, hot: int =
     least id, of those within the radius.
     """
     kind, radius = dict(classes.dtypes)["rep"], radius_of(similarity, BITS)
-    keys = classes.select("rep", "fp").mapInArrow(_part_keys(similarity), f"rep {kind}, key long")
+    keys = spread(classes, "rep", 20 * PARTS * 2 ** (PART_RADIUS + 1)).select("rep", "fp").mapInArrow(_part_keys(similarity), f"rep {kind}, key long")
     prints, edges = classes.select("rep", "fp"), []
     for turn in range(TURNS + 1):
         sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
