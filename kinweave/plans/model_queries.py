@@ -23,8 +23,9 @@ def business(spark, sf_dir):
     c = table(spark, sf_dir, "customer").join(n, "c_nationkey").join(p, F.col("c_custkey") % n_parts + 1 == F.col("k"))
     h = F.md5(F.col("c_custkey").cast("string"))
     words = F.array(F.split("p_name", " ")[0], F.split("p_name", " ")[1], F.lower("c_mktsegment"), F.concat(F.lit("no"), F.substring(h, 1, 3)))
-    base = c.select("c_custkey", words.alias("w"), F.concat(F.col("c_custkey") % 311 + 1).alias("num"), F.lower("n_name").alias("street"), F.concat(F.lit("district "), F.substring(h, 4, 2)).alias("town"), F.element_at(F.array(*[F.lit(s) for s in ("US", "India", "France")]), (F.col("c_nationkey") % 3 + 1).cast("int")).alias("country"))
-    one = base.select(F.concat(F.lit("S1-"), "c_custkey").alias("entity_id"), F.concat(F.array_join("w", " "), F.lit(" ltd")).alias("business_name"), F.concat("num", F.lit(" "), "street", F.lit(" street, "), "town", F.lit(", ohio")).alias("business_address"), "country")
+    base = c.select("c_custkey", words.alias("w"), F.concat(F.col("c_custkey") % 311 + 1).alias("num"), F.lower("n_name").alias("street"), F.translate(F.substring(h, 4, 4), "0123456789abcdef", "aeioubdgklmnprst").alias("town"), (F.col("c_custkey") % 6 + 1).cast("int").alias("s"), F.element_at(F.array(*[F.lit(s) for s in ("US", "India", "France")]), (F.col("c_nationkey") % 3 + 1).cast("int")).alias("country"))
+    state = lambda *names: F.element_at(F.array(*map(F.lit, names)), F.col("s"))
+    one = base.select(F.concat(F.lit("S1-"), "c_custkey").alias("entity_id"), F.concat(F.array_join("w", " "), F.lit(" ltd")).alias("business_name"), F.concat("num", F.lit(" "), "street", F.lit(" street, "), "town", F.lit(", "), state("ohio", "texas", "kerala", "bihar", "bretagne", "corse")).alias("business_address"), "country")
     copies = base.withColumn("src", F.explode(F.array(F.lit(2), F.lit(3)))).withColumn("h", F.md5(F.concat_ws("|", F.col("c_custkey").cast("string"), F.col("src").cast("string"))))
     digit = lambda i: F.conv(F.substring("h", i, 1), 16, 10).cast("int")
     w = F.when(digit(1) < 4, F.reverse("w")).otherwise(F.col("w"))
@@ -32,7 +33,7 @@ def business(spark, sf_dir):
     name = F.when(digit(2) < 5, F.concat(F.substring(name, 1, 3), F.substr(name, F.lit(5)))).otherwise(name)
     name = F.when(digit(3) < 4, F.translate(name, "oe", "03")).otherwise(name)
     name = F.concat(name, F.when(digit(4) < 6, " limited").when(digit(4) < 9, " dba best choice").otherwise(" inc"))
-    place = F.concat(F.when(digit(5) < 12, F.concat("num", F.lit(" "))).otherwise(F.lit("")), F.col("street"), F.when(digit(6) < 8, " st").otherwise(" street"), F.lit(", "), F.col("town"), F.when(digit(7) < 10, ", oh").otherwise(""))
+    place = F.concat(F.when(digit(5) < 12, F.concat("num", F.lit(" "))).otherwise(F.lit("")), F.col("street"), F.when(digit(6) < 8, " st").otherwise(" street"), F.lit(", "), F.col("town"), F.when(digit(7) < 10, F.concat(F.lit(", "), state("oh", "tx", "kl", "br", "bre", "cor"))).otherwise(""))
     targets = copies.select(F.concat(F.lit("S"), "src", F.lit("-"), "c_custkey").alias("entity_id"), name.alias("business_name"), place.alias("business_address"), "country", (F.col("c_custkey") % 5 == 0).alias("orphan"), "c_custkey")
     truth = targets.where(~F.col("orphan")).select(F.concat(F.lit("S1-"), "c_custkey").alias("i1"), F.col("entity_id").alias("it"))
     moved = F.when(F.col("orphan"), F.translate("business_name", "aeioulnrst", "uoaeilrtsn")).otherwise(F.col("business_name"))
