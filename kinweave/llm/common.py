@@ -38,14 +38,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets the shuffle files of what is cut go: Spark deletes them once the driver's garbage collection has met the plans that made them, which may else be long after."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def spread(df: DataFrame, key: str, row_bytes: int, task_bytes: int = 16 << 20) -> DataFrame:
     """df, which is cut, in so many partitions that what a task makes of its rows, row_bytes of each, is about task_bytes at most."""
     parts = -(-df.count() * row_bytes // task_bytes)
