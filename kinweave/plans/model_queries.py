@@ -89,9 +89,10 @@ def two_stage_v1(spark, sf_dir):
     pairs = linkage.staged(linkage_old.featured(a, b))
     marked = linkage.staged(pairs.join(truth.withColumn("y", F.lit(1)), ["i1", "it"], "left").withColumn("y", F.coalesce("y", F.lit(0))))
     columns = [c for c in pairs.columns if c not in ("i1", "it")]
-    p1, _ = models.out_of_fold(marked, columns, folds=2, **TREES)
+    small = {"trees": 8, "depth": 4, "leaf": 5}  # four fits of 87 columns
+    p1, _ = models.out_of_fold(marked, columns, folds=2, **small)
     both = linkage.staged(linkage_old.second_stage(linkage.staged(p1), linkage_old.view(a.unionByName(b), "full_char")))
-    scored, _ = models.out_of_fold(both, [c for c in both.columns if c not in ("i1", "it", "y", "fold")], folds=2, out="p", **TREES)
+    scored, _ = models.out_of_fold(both, [c for c in both.columns if c not in ("i1", "it", "y", "fold")], folds=2, out="p", **small)
     return rounded(scored.select("i1", "it", "y", "p1", "p"))
 
 
