@@ -4,10 +4,11 @@ The masks follow Pagh, "CoveringLSH: locality-sensitive hashing without false ne
 nonzero vector a(i) of r + 1 bits, and table v keeps the bits with odd <a(i), v>. The vectors of at most r differing
 bits leave some v orthogonal to all of them, so that every pair within radius r meets in some table's bucket.
 
-Plan: fingerprint (Arrow, no shuffle) -> one row per distinct fingerprint (map-side combine) -> a bucket row per table ->
-count, least and greatest of each bucket (map-side combine, so a hot bucket shuffles a row per task). Buckets of two are
-compared in place; the members of larger ones are gathered as bounded lists, and each list gives a spanning forest of its
-near pairs, never all pairs. A bucket over `hot` members is split by a second set of covering masks over the bits that its
+Plan: fingerprint (Arrow, no shuffle) -> one row per distinct fingerprint (map-side combine) -> a bucket row per table, by a
+hash of table and bits (two buckets of one hash are compared as one: more work, no link lost) -> count of each bucket (map-side
+combine, so a hot bucket shuffles a row per task). Buckets of two members or more, if few, are broadcast, so that only their
+members travel; these are gathered as bounded lists, and each list gives a spanning forest of its near pairs, never all
+pairs. A bucket over `hot` members is split by a second set of covering masks over the bits that its
 table left out: what shares both masks differs in at most about 18 bits, which bounds the lists at any size.
 
 Four of 64 bits find near copies only. similar_documents() links by an estimated Jaccard similarity (0.8 of sets of five-word
@@ -24,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, join_by_key, map_texts, spread
@@ -118,10 +119,13 @@ def _forests(radius: int):
         for batch in batches:
             lists = batch.column(0)
             values, offsets = np.asarray(lists.values, dtype=np.int64), np.asarray(lists.offsets)
+            starts, sizes = offsets[:-1], np.diff(offsets)
+            twos = np.sort(values[starts[sizes == 2][:, None] + np.arange(2)], axis=1)
+            twos = twos[np.bitwise_count((twos[:, 0] ^ twos[:, 1]).view(np.uint64)) <= radius]
             edges: list[tuple[int, int]] = []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                edges += forest(values[a:b], radius)
-            pairs = np.array(sorted(set(edges)), dtype=np.int64).reshape(-1, 2)
+            for a, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                edges += forest(values[a : a + n], radius)
+            pairs = np.concatenate([twos, np.array(sorted(set(edges)), dtype=np.int64).reshape(-1, 2)])
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
@@ -130,28 +134,22 @@ def _forests(radius: int):
 def near_edges(classes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fp` of `classes`; their connected components are those of all pairs within `radius` bits."""
     masks = covering_masks(radius)
-    table = F.explode(F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks)]))
-    keys = spread(classes, "fp", 24 * len(masks)).select("fp", table.alias("x")).select(F.col("x").alias("key"), "fp")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n >= 2")
-    buckets = cut(buckets)
-    twos = buckets.where("n = 2").where(_distance("a", "b") <= radius).select("a", "b")
-    members = keys.join(buckets.where(f"n > 2 and n <= {hot}").select("key"), "key")
-    lists = members.groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
-    edges = twos.unionByName(lists.mapInArrow(_forests(radius), "a long, b long"))
+    table = F.explode(F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(m)))).alias("key")) for t, m in enumerate(masks)]))
+    keys = spread(classes, "fp", 24 * len(masks)).select("fp", table.alias("x")).select("x.key", "x.t", "fp")
+    buckets = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2"))
+    small = buckets.where(f"n <= {hot}").select("key")
+    members = keys.select("key", "fp").join(F.broadcast(small) if small.count() <= BROADCAST else small, "key")
+    edges = members.groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_forests(radius), "a long, b long")
     if buckets.where(f"n > {hot}").limit(1).count():
         second = [[signed(m | x) for x in covering_masks(radius, [i for i in range(64) if not m >> i & 1])] for m in masks]
         grid = F.array(*[F.array(*[F.lit(x) for x in row]) for row in second])
         split = join_by_key(keys, buckets.where(f"n > {hot}").select("key", "n"), "key", "n", how="inner")
-        split = split.select("key", "fp", F.posexplode(F.element_at(grid, F.col("key.t").cast("int") + 1)).alias("u", "m"))
+        split = split.select("key", "fp", F.posexplode(F.element_at(grid, F.col("t").cast("int") + 1)).alias("u", "m"))
         finer = split.groupBy("key", "u", F.col("fp").bitwiseAND(F.col("m")).alias("k2")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
         edges = edges.unionByName(finer.mapInArrow(_forests(radius), "a long, b long"))
     return edges.distinct()
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
 def wide_forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """As forest(), of rows of 64-bit words; edges are places."""
     rest, edges = np.arange(len(values)), []

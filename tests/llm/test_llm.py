@@ -85,6 +85,17 @@ def test_dense_groups_split_and_whole(spark, hot):
     assert {v: got.get(v, v) for v in values} == root
 
 
+def test_keys_travel_once(spark):
+    """With few buckets of two or more, only their members are shuffled again, so that growth has no step where a plan changes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = simhash.near_edges(spark.createDataFrame([(v,) for v in (1, 2, 3, 1 << 40, (1 << 40) + 1)], "fp long"))
+        assert "SortMergeJoin" not in edges._jdf.queryExecution().sparkPlan().toString()
+        assert {r["node"]: r["root"] for r in graph.components(edges).collect()} == {v: 1 for v in (1, 2, 3, 1 << 40, (1 << 40) + 1)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def jaccard(a, b, width=5):
     x, y = (set(simhash.shingle_hashes(t, width).tolist()) for t in (a, b))
     return len(x & y) / max(1, len(x | y))
