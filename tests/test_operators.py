@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import blocking, context, decisions, diagnostics, keys, metrics, models, sampling, statistics
-from kinweave.plans import linkage_old
+from kinweave.plans import base, catalogue, linkage_old, pair_queries
 from kinweave.sources import tables
 from kinweave.streaming import arrivals
 
@@ -42,6 +42,36 @@ def test_capped_hits(spark):
     assert [(r["i1"], r["it"], r["keymask"]) for r in found] == [(1, 10, (1 << list(keys.CAPS).index("n_key")) | (1 << list(keys.CAPS).index("n_tok")))]
 
 
+def test_keys_over_caps_are_not_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("s1", "n_tok", "hot", i) for i in range(1, 9)] + [("t", "n_tok", "hot", 10), ("s1", "n_key", "a", 1), ("t", "n_key", "a", 10), ("t", "n_key", None, 10), ("s1", "n_key", None, 1)]
+        found = blocking.capped_hits(key_rows(spark, rows), unique=True)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "LeftAnti" in plan
+        assert [(r["key"], r["i1"], r["it"]) for r in found.collect()] == [("a", 1, 10)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["link_fate", "key_contribution", "candidate_recall", "compare_submissions", "test_summary", "oracle_ceiling", "blocking_report", "submission_violations"])
+def test_candidates_are_made_once(spark, monkeypatch, name):
+    made = []
+    docs = spark.createDataFrame([(0, "x y", "en", "src0"), (1, "x y", "en", "src9")], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(base, "table", lambda *_: docs)
+    monkeypatch.setattr(pair_queries, "masks", lambda *_: made.append(1) or spark.createDataFrame([(0, 1, 3)], "i1 long, it long, keymask long"))
+    catalogue.queries()[name](spark, "")
+    assert len(made) == 1
+
+
+@pytest.mark.parametrize("common", [1, 3, 20_000])
+def test_rarest_with_common_words(spark, monkeypatch, common):
+    monkeypatch.setattr(statistics, "COMMON", common)
+    r = spark.createDataFrame([(1, ["a", "b", "c", "a"]), (2, ["a", "b"]), (3, ["a"]), (4, []), (5, ["d", "c", "a"]), (6, None)], "rid int, w array<string>")
+    got = {x["rid"]: x["rare"] for x in statistics.rarest(r, "rid", "w", statistics.token_counts(r, "w")).collect()}
+    assert got == {1: ["b", "c"], 2: ["b", "a"], 3: ["a"], 4: [], 5: ["d", "c"], 6: []}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("s1", "n_key", "a", 1), ("s1", "n_tok", "b", 2), ("t", "n_key", "a", 10), ("t", "n_tok", "b", 11)]
     known = arrivals.known_keys(key_rows(spark, rows)).cache()
