@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_key, map_texts, spread
+from .common import cut, join_by_key, map_texts, release, spread
 from .graph import components
 
 SEED = 42
@@ -42,8 +42,8 @@ BITS, WIDTH, SIMILARITY = 512, 5, 0.8
 PARTS, PART_BITS, PART_RADIUS = 9, 42, 3
 #: A class of set sizes spans so many steps, each a ratio of sizes that the least similarity admits.
 SIZE_STEPS = 4
-#: As HOT, for wide fingerprints; how often a larger bucket is split, into how many splits, by how many of the last bytes each.
-WIDE_HOT, TURNS, SPLITS, SPLIT_BYTES = 2048, 4, 2, 2
+#: As HOT, for wide fingerprints; the most blocks that a larger bucket is dealt into, and bytes of their members in a task.
+WIDE_HOT, BLOCKS_OF, CELL_BYTES = 2048, 64, 16 << 20
 #: Large buckets up to whose number their keys (16 bytes each) are broadcast.
 BROADCAST = 200_000
 
@@ -187,6 +187,7 @@ def _part_keys(similarity: float):
                 keys = found[at] | size[:, None] << np.uint64(PART_BITS + 8)
                 rep = part.column(0).take(pa.array(np.repeat(at, found.shape[1])))
                 yield pa.RecordBatch.from_arrays([rep, pa.array(keys.reshape(-1).view(np.int64))], names=["rep", "key"])
+        release("")
 
     return run
 
@@ -205,6 +206,7 @@ def _wide_forests(radius: int):
                     a.append(lo + x)
                     b.append(lo + y)
             yield pa.RecordBatch.from_arrays([rep.take(pa.array(a, pa.int64())), rep.take(pa.array(b, pa.int64()))], names=["a", "b"])
+        release("")
 
     return run
 
@@ -212,37 +214,26 @@ def _wide_forests(radius: int):
 def similar_edges(classes: DataFrame, similarity: float = SIMILARITY, hot: int = WIDE_HOT) -> DataFrame:
     """Edges (a, b) between ids `rep` of classes (rep, fp) with wide fingerprints within radius_of(similarity) bits: of each bucket a spanning forest.
 
-    A bucket over `hot` is split by further bits of its members, TURNS times; what is still larger gives a star around its
-    least id, of those within the radius.
+    A bucket over `hot` is dealt into blocks of at most about `hot` members, and each two of them are compared, so that none of its
+    pairs is missed; blocks grow beyond BLOCKS_OF a bucket, which bounds how often a member travels.
     """
     kind, radius = dict(classes.dtypes)["rep"], radius_of(similarity, BITS)
     keys = spread(classes, "rep", 20 * PARTS * 2 ** (PART_RADIUS + 1)).select("rep", "fp").mapInArrow(_part_keys(similarity), f"rep {kind}, key long")
-    prints, edges = classes.select("rep", "fp"), []
-    for turn in range(TURNS + 1):
-        sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-        members = keys.join(sizes.where(f"n <= {hot}").select("key"), "key")
-        members = members if "fp" in keys.columns else members.join(prints, "rep")
-        lists = members.groupBy("key").agg(F.collect_list(F.struct("rep", "fp")).alias("all")).select("all")
-        edges.append(lists.mapInArrow(_wide_forests(radius), f"a {kind}, b {kind}"))
-        large = sizes.where(f"n > {hot}")
-        n_large = large.count()
-        if not n_large:
-            break
-        held = keys.join(F.broadcast(large), "key").drop("n") if n_large <= BROADCAST else join_by_key(cut(keys), large, "key", "n", how="inner").drop("n")
-        held = cut(held if "fp" in keys.columns else held.join(prints, "rep"))
-        if turn < TURNS:
-            at = [1 + BITS // 8 - (turn * SPLITS + i + 1) * SPLIT_BYTES for i in range(SPLITS)]
-            keys = held.select("rep", "fp", F.explode(F.array(*[F.xxhash64("key", F.lit(i), F.substring("fp", i, SPLIT_BYTES)) for i in at])).alias("key"))
-        else:
-            heads = cut(held.groupBy("key").agg(F.min(F.struct("rep", "fp")).alias("least"), F.count("*").alias("n")))
-            star = join_by_key(held, heads, "key", "n", how="inner").where("least.rep <> rep")
-            words = [F.conv(F.hex(F.substring(c, 1 + 4 * i, 4)), 16, 10).cast("long") for i in range(BITS // 32) for c in ("fp", "least.fp")]
-            differing = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(words[::2], words[1::2], strict=True)), F.lit(0))
-            edges.append(star.where(differing <= radius).select(F.col("rep").alias("a"), F.col("least.rep").alias("b")))
-    found = edges[0]
-    for more in edges[1:]:
-        found = found.unionByName(more)
-    return found.distinct()
+    prints = classes.select("rep", "fp")
+    sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = keys.join(sizes.where(f"n <= {hot}").select("key"), "key").join(prints, "rep")
+    gathered = F.collect_list(F.struct("rep", "fp")).alias("all")
+    edges = members.groupBy("key").agg(gathered).select("all").mapInArrow(_wide_forests(radius), f"a {kind}, b {kind}")
+    large = sizes.where(f"n > {hot}").withColumn("blocks", F.least(F.ceil(F.col("n") / hot), F.lit(BLOCKS_OF)).cast("int"))
+    n_large = large.count()
+    if n_large:
+        held = keys.join(F.broadcast(large), "key") if n_large <= BROADCAST else join_by_key(cut(keys), large, "key", "n", how="inner")
+        place = held.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = place.select("rep", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(prints, "rep")
+        parts = int(large.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]) * (BITS // 8 + 40) // CELL_BYTES + 1
+        tiles = cells.repartition(parts, "key", "i", "j").groupBy("key", "i", "j").agg(gathered).select("all")
+        edges = edges.unionByName(tiles.mapInArrow(_wide_forests(radius), f"a {kind}, b {kind}"))
+    return edges.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:

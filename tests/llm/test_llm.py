@@ -128,6 +128,19 @@ def test_similar_documents(spark, hot):
     assert simhash.similar_documents(frame.limit(0)).count() == 0
 
 
+def test_large_buckets_lose_no_pair(spark):
+    """A chain of prints, each near the next alone, in the same buckets: a star around one of them would link few."""
+    rnd, first = random.Random(4), simhash.PARTS * simhash.PART_BITS
+    value, rows = rnd.getrandbits(simhash.BITS), []
+    for i in range(60):  # all bits outside of the parts, 80 of 134, change at each step
+        rows.append((i, value.to_bytes(simhash.BITS // 8, "little") + (100).to_bytes(4, "little")))
+        for bit in rnd.sample(range(first, simhash.BITS), 80):
+            value ^= 1 << bit
+    classes = common.cut(spark.createDataFrame(rows, "rep long, fp binary"))
+    got = {r["node"]: r["root"] for r in graph.components(simhash.similar_edges(classes, hot=8)).collect()}
+    assert got | {0: 0} == dict.fromkeys(range(60), 0)
+
+
 def test_masks_cover_every_pair():
     rnd = random.Random(1)
     masks = simhash.covering_masks(4)
