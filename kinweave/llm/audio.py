@@ -6,11 +6,11 @@ Gray-coded, hence an unsigned 32-bit code per frame. Equal code sequences are on
 
 Alignment: the upper bits of the codes at four places are a key of the first place, made from the recording and, so that cuts
 between frames meet too, from the recording half a hop later; of these the keys with a hash divisible by three count, in all
-recordings alike. Classes that share two keys (one, if either is short) are a candidate pair. The members of a bucket of up to FEW are paired; a larger bucket is split by longer keys of the same places,
-and what is still larger holds one passage of some seconds, whose members are all paired with their least, the head: a star
-instead of all pairs. So the pairs grow in proportion to the keys, whatever the sizes of groups. Each pair is aligned by the
-histogram of offsets over all places of equal codes; under the histogram's peaks, the stretch whose bits differ least
-decides. Pairs hold ids alone; codes travel once the pairs are known, to heads of large buckets in salted copies.
+recordings alike. Classes that share two keys (one, if either is short) are a candidate pair, however many share them. A bucket of up to
+FEW gives rows of pairs; a larger one is dealt into blocks of about BLOCK, and each two blocks meet in a cell, which compares
+their members in place and gives a row per member, not per pair. The comparisons grow with the square of a bucket; the rows
+don't. Each pair is aligned by the histogram of offsets over all places of equal codes; under the histogram's peaks, the
+stretch whose bits differ least decides. Pairs hold ids alone; codes travel once the pairs are known.
 """
 
 from __future__ import annotations
@@ -22,21 +22,22 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, join_by_key, release
 from .graph import components
 
 #: Samples a second, of a frame and between frames of the default format; frames under a filter.
 RATE, FRAME, HOP, SPAN = 8000, 1024, 128, 8
-#: Members of a bucket that are all paired.
-FEW = 16
+#: Members up to whose number a bucket gives rows of pairs. Beyond: members of a block, the most blocks of a bucket (then they grow), bytes of cells in a task.
+FEW, BLOCK, BLOCKS_OF, CELL_BYTES = 16, 256, 64, 16 << 20
 #: Places of a key and codes between them; one in KEPT keys counts.
 PLACES, GAP, KEPT = 4, 3, np.uint64(3)
 #: Classes with fewer codes need one common key, others two.
 SHORT = 24
-#: Large buckets up to whose number their keys (16 bytes each) are broadcast.
+#: Ids up to whose number they are broadcast.
 BROADCAST = 200_000
 #: A filter response is the log ratio of two areas; these cut it into four levels. No level ends near a ratio of one, the response to silence.
 LEVELS = (-0.5, -0.15, 0.3)
@@ -48,6 +49,8 @@ CLASSES = 12
 UPPER = np.uint32(0xAAAAAAAA)
 #: Peaks of the histogram that are tried; the largest share of differing bits; codes that an alignment has at least, of different ones among them.
 PEAKS, MOST_ERROR, LEAST, LEAST_DIFFERENT = 4, 0.105, 10, 4
+#: MOST_ERROR less a share of differing bits, over a code: (GAIN - LOSS * bits) / UNIT, in whole numbers.
+GAIN, LOSS, UNIT = 84, 25, 800
 #: Pairs of equal codes of two recordings that are listed; commoner codes are counted by a transform instead.
 LISTED = 1 << 18
 
@@ -149,12 +152,12 @@ def codes(data: bytes, form: Format = Format()) -> np.ndarray:
     return np.bitwise_or.reduce(levels << (2 * np.arange(len(FILTERS), dtype=np.uint32))[:, None], axis=0)
 
 
-def hashed(code: np.ndarray, places: int, mask: np.uint32) -> np.ndarray:
-    """64-bit hash of the masked codes at `places` places, GAP apart, from each place on; what lies beyond the end counts as a mark of its own."""
-    out = np.full(len(code), 0x9E3779B97F4A7C15 + places, np.uint64)
-    masked = np.concatenate([code & mask, np.zeros(places * GAP, np.uint32)]).astype(np.uint64) + np.uint64(1)
+def hashed(code: np.ndarray) -> np.ndarray:
+    """64-bit hash of the upper bits of the codes at PLACES places, GAP apart, from each place on; what lies beyond the end counts as a mark of its own."""
+    out = np.full(len(code), 0x9E3779B97F4A7C15 + PLACES, np.uint64)
+    masked = np.concatenate([code & UPPER, np.zeros(PLACES * GAP, np.uint32)]).astype(np.uint64) + np.uint64(1)
     masked[len(code) :] = 0
-    for k in range(places):
+    for k in range(PLACES):
         out = (out ^ masked[k * GAP : k * GAP + len(code)]) * np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(29)
     return out
@@ -168,7 +171,7 @@ def keys(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     reach = (PLACES - 1) * GAP
     if len(code) <= reach:
         return np.zeros(1, np.int64), np.array([xxhash.xxh64_intdigest((code & UPPER).astype("<u4").tobytes(), len(code))], np.uint64)
-    found = hashed(code, PLACES, UPPER)[: len(code) - reach]
+    found = hashed(code)[: len(code) - reach]
     place = np.flatnonzero(found % KEPT == 0)
     return place, found[place]
 
@@ -181,18 +184,6 @@ def all_keys(data: bytes, code: np.ndarray, form: Format) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64)
 
 
-def longer_keys(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each place that counts, ever longer keys: its first; of PLACES places' whole codes; of twice as many places' whole codes. And bits that tell which of them the recording has here first."""
-    place, first = keys(code)
-    whole = np.uint32(0xFFFFFFFF)
-    found = (first, hashed(code, PLACES, whole)[place], hashed(code, 2 * PLACES, whole)[place])
-    new = np.zeros(len(place), np.int8)
-    for turn, key in enumerate(found):  # a longer key determines the shorter ones
-        new[np.unique(key, return_index=True)[1]] |= 1 << turn
-    at = np.flatnonzero(new)
-    return found[0][at], found[1][at], found[2][at], new[at]
-
-
 def offsets_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Histogram over all pairs of equal codes: element len(b) - 1 + offset counts those of b's place i and a's place i + offset."""
     order = np.argsort(b, kind="stable")
@@ -231,7 +222,7 @@ def stretch(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int, int,
     x, y = a[max(0, offset) :], b[max(0, -offset) :]
     n = min(len(x), len(y))
     errors = np.bitwise_count(x[:n] ^ y[:n]).astype(np.int64)
-    sums = np.concatenate([[0.0], np.cumsum(MOST_ERROR - errors / 32)])
+    sums = np.concatenate([[0], np.cumsum(GAIN - LOSS * errors)])
     low = np.minimum.accumulate(sums)
     end = int(np.argmax(sums - low))
     begin = int(np.argmin(sums[: end + 1]))
@@ -241,7 +232,7 @@ def stretch(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int, int,
     share = float(errors[begin:end].sum()) / (32 * n)
     if share > most_error(n) or len(np.unique(x[begin:end])) < LEAST_DIFFERENT:
         return None
-    return float(sums[end] - sums[begin]), begin + max(0, -offset), n, share
+    return float(sums[end] - sums[begin]) / UNIT, begin + max(0, -offset), n, share
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float, float] | None:
@@ -251,7 +242,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float, float] |
     votes = offsets_of(a, b)
     both = votes[:-1] + votes[1:] if len(votes) > 1 else votes  # an offset between two frames votes for either
     best: tuple[float, int, int, int, float] | None = None
-    tops = np.argpartition(-both, min(PEAKS, len(both) - 1))[:PEAKS] if len(both) > PEAKS else np.arange(len(both))
+    tops = np.argsort(-both, kind="stable")[:PEAKS]
     tried = {int(t) + k - (len(b) - 1) for t in tops if both[t] for k in (0, 1) if t + k < len(votes) and votes[t + k]}
     for offset in sorted(tried, key=lambda o: (abs(o), o)):
         found = stretch(a, b, offset)
@@ -260,6 +251,103 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float, float] |
     return None if best is None else (best[1], best[2], best[3], best[4], best[0])
 
 
+#: Codes of a stretch at least: a shorter one would have to differ by less than nothing.
+REACH = int(np.ceil((0.45 / MOST_ERROR) ** 2))
+
+
+def _ranges(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, owners, steps) of ranges of these lengths that lie one after the other: whose range each place is in, and where there."""
+    begins = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    return begins, owner, np.arange(len(owner)) - begins[owner]
+
+
+def align_many(a: np.ndarray, others: list[np.ndarray]) -> list[tuple[int, int, int, float, float] | None]:
+    """align(a, b) of each b of others, a few hundred at once: the same numbers, without a Python step per pair."""
+    out: list[tuple[int, int, int, float, float] | None] = [None] * len(others)
+    if len(a) < REACH:
+        return out
+    order = np.argsort(a, kind="stable")
+    index = (order, *np.unique(a[order], return_index=True, return_counts=True))
+    turn: list[int] = []
+    size = 0
+    for i, b in enumerate(others):
+        if len(b) >= REACH:
+            turn.append(i)
+            size += len(a) + len(b)
+        if turn and (size >= LISTED or i == len(others) - 1):
+            _align_turn(a, index, others, turn, out)
+            turn, size = [], 0
+    if turn:
+        _align_turn(a, index, others, turn, out)
+    return out
+
+
+def _align_turn(a: np.ndarray, index: tuple, others: list[np.ndarray], turn: list[int], out: list) -> None:
+    """Fills in those of out that turn names; index: the places of a by their codes, the codes, where each begins there, how often it is there."""
+    order, values, starts, many = index
+    lengths = np.array([len(others[i]) for i in turn])
+    b = np.concatenate([others[i] for i in turn])
+    code = np.minimum(np.searchsorted(values, b), len(values) - 1)
+    counts = np.where(values[code] == b, many[code], 0)
+    begins, owner, place = _ranges(lengths)
+    listed = np.add.reduceat(counts, begins)
+    if listed.sum() > 4 * LISTED and len(turn) > 1:  # halves, until what is listed is little
+        for part in (turn[: len(turn) // 2], turn[len(turn) // 2 :]):
+            _align_turn(a, index, others, part, out)
+        return
+    if listed.sum() > LISTED and len(turn) == 1:
+        out[turn[0]] = align(a, others[turn[0]])
+        return
+    # Votes of all pairs, one histogram after the other.
+    spans = len(a) + lengths - 1
+    first = np.cumsum(spans) - spans
+    met = np.repeat(starts[code] - (np.cumsum(counts) - counts), counts)
+    met += np.arange(len(met))
+    where = order[met] + np.repeat((first + lengths - 1)[owner] - place, counts)
+    votes = np.bincount(where, minlength=int(spans.sum()))
+    both = np.append(votes[:-1] + votes[1:], 0)
+    both[first + spans - 1] = 0
+    top = np.flatnonzero(both)
+    pair = np.searchsorted(first, top, "right") - 1
+    best = np.lexsort((top, -both[top], pair))
+    top, pair = top[best], pair[best]
+    top = top[np.arange(len(pair)) - np.searchsorted(pair, pair, "left") < PEAKS]
+    tried = np.unique(np.concatenate([top, top + 1]))  # what lies beyond a pair's histogram has no vote of its own, as both has none at its end
+    tried = tried[votes[tried] > 0]
+    pair = np.searchsorted(first, tried, "right") - 1
+    offset = tried - first[pair] - (lengths[pair] - 1)
+    xs, ys = np.maximum(offset, 0), np.maximum(-offset, 0)
+    n = np.minimum(len(a) - xs, lengths[pair] - ys)
+    use = n >= REACH
+    pair, offset, xs, ys, n = pair[use], offset[use], xs[use], ys[use], n[use]
+    if not len(n):
+        return
+    # The best stretch under each offset: sums from a leading zero on; a falling base keeps the least of one pair from the next.
+    begin, owner, step = _ranges(n + 1)
+    inner = np.maximum(step - 1, 0)
+    gain = GAIN - LOSS * np.bitwise_count(a[xs[owner] + inner] ^ b[begins[pair][owner] + ys[owner] + inner]).astype(np.int64)
+    gain[begin] = 0
+    sums = np.cumsum(gain)
+    sums -= sums[begin][owner] + owner * np.int64(1 << 40)
+    least = np.minimum.accumulate(sums)
+    new = np.ones(len(sums), bool)
+    new[1:] = sums[1:] < least[:-1]
+    since = np.maximum.accumulate(np.where(new, np.arange(len(sums)), 0))
+    rise = sums - least
+    score = np.maximum.reduceat(rise, begin)
+    ends = np.flatnonzero(rise == score[owner])
+    end = ends[np.searchsorted(ends, begin)]
+    start = since[end]
+    n, start = end - start, start - begin
+    share = (GAIN * n - score) // LOSS / np.maximum(32 * n, 1)
+    good = np.flatnonzero((n >= max(REACH, LEAST)) & (share <= most_error(np.maximum(n, 1))))
+    for i in good[np.lexsort((offset[good], np.abs(offset[good]), -score[good], pair[good]))].tolist():
+        p = turn[pair[i]]
+        if out[p] is None and len(np.unique(a[xs[i] + start[i] : xs[i] + start[i] + n[i]])) >= LEAST_DIFFERENT:
+            out[p] = (int(offset[i]), int(start[i] + ys[i]), int(n[i]), float(share[i]), float(score[i]) / UNIT)
+
+
 def _print(form: Format):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("")
@@ -273,29 +361,93 @@ def _print(form: Format):
     return run
 
 
-def _exploded(batch: pa.RecordBatch, sizes: list[int]) -> list[pa.Array]:
-    """The ids of a batch (rep, codes), each as often as sizes says, and whether the recording is short."""
-    rep = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
-    short = np.asarray(pa.compute.binary_length(batch.column(1)), np.int64) < 4 * SHORT
-    return [rep, pa.array(np.repeat(short, sizes))]
-
+def _cell(key: int, members: list[dict]) -> Iterator[tuple[int, int, tuple]]:
+    """(i, j, alignment) of the links between members j and i < j of a cell that are candidates and meet here: in the cell of the least large key that they share, and not within one of two blocks.
 
-def _codes(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), "<u4") for x in batch.column(1)]
+    members, by id: block, short, codes, small and large (the keys that they share with any others, in buckets up to FEW and larger).
+    """
+    block, short = np.array([m["block"] for m in members]), np.array([m["short"] for m in members])
+    alike = np.zeros((len(members), len(members)), np.float32)
+    before = np.zeros_like(alike, dtype=bool)
+    for kind in ("small", "large"):
+        lists = [np.array(m[kind], np.int64) for m in members]
+        held, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        values, inverse, counts = np.unique(held, return_inverse=True, return_counts=True)
+        common = np.flatnonzero(counts > 1)
+        column = np.full(len(values), -1)
+        column[common] = np.arange(len(common))
+        has = np.zeros((len(members), len(common)), np.float32)
+        use = column[inverse] >= 0
+        has[owner[use], column[inverse][use]] = 1
+        alike += has @ has.T
+        if kind == "large":
+            lesser = has[:, values[common] < key]
+            before = lesser @ lesser.T > 0
+    want = ~before & ((alike > 1) | short[:, None] | short[None, :])
+    if len(np.unique(block)) > 1:
+        want &= block[:, None] != block[None, :]
+    code = [np.frombuffer(m["codes"], "<u4") for m in members]
+    for i in range(len(members)):
+        later = (np.flatnonzero(want[i, i + 1 :]) + i + 1).tolist()
+        for j, found in zip(later, align_many(code[i], [code[j] for j in later]), strict=True):
+            if found:
+                yield i, j, found
 
 
-def _longer_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """(key, members) of each cell that has pairs: of one block, or of two that both have members."""
     for batch in batches:
-        found = [longer_keys(c) for c in _codes(batch)]
-        columns = [np.concatenate([np.zeros(0, np.uint64), *[k[j] for k in found]]).view(np.int64) for j in range(3)]
-        new = np.concatenate([np.zeros(0, np.int8), *[k[3] for k in found]])
-        yield pa.RecordBatch.from_arrays([*_exploded(batch, [len(k[3]) for k in found]), *map(pa.array, columns), pa.array(new)], names=["rep", "short", "k1", "k2", "k3", "new"])
+        for i in range(batch.num_rows):
+            members = batch.column(3)[i].as_py()
+            if batch.column(1)[i].as_py() == batch.column(2)[i].as_py() or len({m["block"] for m in members}) > 1:
+                yield batch.column(0)[i].as_py(), members
+
+
+def _cell_links(kind: pa.DataType):
+    """The links of cells, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, members in _cells(batches):
+            rows = [(members[j]["rep"], members[i]["rep"], *found) for i, j, found in _cell(key, members)]
+            if rows:
+                kinds = (kind, kind, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["rep", "head", "offset", "begin", "overlap", "bit_error", "score"])
+
+    return run
+
+
+def _cell_sums(kind: pa.DataType):
+    """Of the links of each cell a row per member that has any: their number, the best of them, and the least member reachable over them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, members in _cells(batches):
+            root, number, best = list(range(len(members))), [0] * len(members), {}
+
+            def top(i: int) -> int:
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                return i
+
+            for i, j, (offset, _, overlap, error, score) in _cell(key, members):
+                for own, other, way in ((j, i, offset), (i, j, -offset)):
+                    number[own] += 1
+                    best[own] = min(best.get(own, (0.0,)), (-score, other, way, overlap, error))
+                x, y = top(i), top(j)
+                root[max(x, y)] = min(x, y)
+            if best:
+                rows = [(members[i]["rep"], number[i], s, members[to]["rep"], *way, members[top(i)]["rep"]) for i, (s, to, *way) in best.items()]
+                kinds = (kind, pa.int64(), pa.float64(), kind, pa.int64(), pa.int64(), pa.float64(), kind)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["class_id", "n", "s", "to", "offset", "overlap", "bit_error", "root"])
+
+    return run
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for i in range(batch.num_rows):
+            if batch.num_columns > 4 and not set(batch.column(4)[i].as_py() or ()).isdisjoint(batch.column(5)[i].as_py() or ()):
+                continue  # a cell has this pair
             found = align(np.frombuffer(batch.column(3)[i].as_py(), "<u4"), np.frombuffer(batch.column(2)[i].as_py(), "<u4"))
             if found:
                 rows.append((i, *found))
@@ -311,56 +463,76 @@ def fingerprints(media: DataFrame, id_col: str, data_col: str, form: Format = Fo
     return media.select(F.col(id_col).alias("_id"), F.col(data_col).cast("binary").alias("d")).mapInArrow(_print(form), f"_id {kind}, n_frames long, codes binary, keys array<long>")
 
 
-def candidates(classes: DataFrame, code: DataFrame, few: int = FEW) -> DataFrame:
-    """Distinct pairs (rep, head, salt) with head < rep of classes (rep, n, keys), whose codes are in code (rep, codes), that share two keys, or one if either is short.
+def candidates(classes: DataFrame, code: DataFrame, few: int = FEW) -> tuple[DataFrame, DataFrame | None]:
+    """(pairs, cells) of classes (rep, n, keys), whose codes are in code (rep, codes), that share two keys, or one if either is short, and are as long as a stretch.
 
-    Buckets of a key with up to `few` classes give all their pairs, larger ones are split by longer keys; the last ones give
-    stars. salt spreads the members of a large star; the head's codes are wanted with each of its salts. Longer keys, of the
-    recording's own frames alone, are made from the codes only if there are large buckets.
+    pairs (rep, head, own, codes, ...) with head < rep share a bucket of a key with up to `few` classes; those that share a larger one
+    too have a key in common in their last two columns, and count in cells alone. cells (key, i, j, members) are of larger buckets:
+    each two blocks i <= j of a bucket; None without such buckets. No pair of a bucket is missed.
     """
-    kind = dict(classes.dtypes)["rep"]
-    own = classes.select("rep", (F.col("n") < SHORT).alias("short"), F.explode("keys").alias("key"))
-    level, found = None, []
-    for turn in range(3):
-        sizes = cut(own.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-        lists = own.join(sizes.where(f"size <= {few}").select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "short"))).alias("all"))
-        each = lists.select("all", F.posexplode("all").alias("place", "x")).where("place > 0").select("x", F.explode(F.slice("all", F.lit(1), F.col("place"))).alias("y"))
-        found.append(each.select("x.rep", F.col("y.rep").alias("head"), (F.col("x.short") | F.col("y.short")).alias("short"), F.lit(0).alias("salt")))
-        large = sizes.where(f"size > {few}")
-        n_large = large.count()
-        if not n_large:
-            break
-        if turn < 2:
-            if level is None:
-                level = code.join(classes.select("rep"), "rep", "left_semi").select("rep", "codes").mapInArrow(_longer_keys, f"rep {kind}, short boolean, k1 long, k2 long, k3 long, new byte")
-            shorter = large.select(F.col("key").alias(f"k{turn + 1}"), "size")
-            near = level.join(F.broadcast(shorter), f"k{turn + 1}") if n_large <= BROADCAST else join_by_key(cut(level), shorter, f"k{turn + 1}", "size", how="inner")
-            level = cut(near.drop("size"))
-            own = level.where(F.col("new").bitwiseAND(F.lit(2 << turn).cast("byte")) != 0).select("rep", "short", F.col(f"k{turn + 2}").alias("key"))
-        else:
-            heads = join_by_key(own, large, "key", "size", how="inner").groupBy("key", "size").agg(F.min(F.struct("rep", "short")).alias("least"))
-            heads = cut(heads.withColumn("salts", F.greatest(F.lit(1), F.floor(F.col("size") / few)).cast("int")))
-            star = join_by_key(own, heads, "key", "size", how="inner").where("least.rep <> rep")
-            found.append(star.select("rep", F.col("least.rep").alias("head"), (F.col("short") | F.col("least.short")).alias("short"), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt")))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    votes = pairs.groupBy("rep", "head").agg(F.count("*").alias("votes"), F.max("short").alias("short"), F.min("salt").alias("salt"))
-    return votes.where("votes > 1 or short").select("rep", "head", "salt")
+    own = classes.where(F.col("n") >= REACH).select("rep", (F.col("n") < SHORT).alias("short"), F.explode("keys").alias("key"))
+    members = cut(own.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"))
+    lists = members.where(f"size <= {few}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "short"))).alias("all"))
+    each = lists.select("all", F.posexplode("all").alias("place", "x")).where("place > 0").select("x", F.explode(F.slice("all", F.lit(1), F.col("place"))).alias("y"))
+    votes = each.groupBy(F.col("x.rep").alias("rep"), F.col("y.rep").alias("head")).agg(F.count("*").alias("votes"), F.max(F.col("x.short") | F.col("y.short")).alias("short"))
+    large = F.col("size") > few
+    if not members.where(large).limit(1).count():
+        pairs = cut(votes.where("votes > 1 or short").select("rep", "head"))
+        wanted = _of(code, pairs.select("rep").unionByName(pairs.select(F.col("head").alias("rep"))).distinct())
+        return pairs.join(wanted.select("rep", F.col("codes").alias("own")), "rep").join(wanted.select(F.col("rep").alias("head"), "codes"), "head").select("rep", "head", "own", "codes"), None
+    sorted_keys = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("key"))))
+    spread_over = F.collect_list(F.when(large, F.struct("key", F.least(F.ceil(F.col("size") / BLOCK), F.lit(BLOCKS_OF)).cast("int").alias("blocks"))))
+    crowded = members.groupBy("rep").agg(F.max("short").alias("short"), sorted_keys(~large).alias("small"), sorted_keys(large).alias("large"), spread_over.alias("cells"))
+    crowded = cut(crowded.where(F.size("large") > 0))
+    # A pair with one common small key may have a large one besides: then a cell has it.
+    pairs = cut(votes.where("votes > 1 or short").select("rep", "head"))
+    wanted = pairs.select("rep").unionByName(pairs.select(F.col("head").alias("rep"))).unionByName(crowded.select("rep")).distinct()
+    wanted = _of(code, wanted)
+    known = wanted.join(crowded.select("rep", "large"), "rep", "left")
+    both = pairs.join(known.select("rep", F.col("codes").alias("own"), F.col("large").alias("own_large")), "rep").join(known.select(F.col("rep").alias("head"), "codes", "large"), "head")
+    dealt = crowded.select("rep", "short", "small", "large", F.explode("cells").alias("x")).select("rep", "short", "small", "large", "x.*")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = wanted.join(dealt, "rep").select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "rep", "block", "short", "codes", "small", "large")
+    size = rows.agg(F.sum(F.octet_length("codes") + 8 * (F.size("small") + F.size("large")) + 40)).first()[0]
+    parts = max(4 * code.sparkSession.sparkContext.defaultParallelism, int(size or 0) // CELL_BYTES + 1)
+    met = rows.repartition(parts, "key", "i", "j").groupBy("key", "i", "j").agg(F.sort_array(F.collect_list(F.struct("rep", "block", "short", "codes", "small", "large"))).alias("members"))
+    return both.select("rep", "head", "own", "codes", "own_large", "large"), met.where(F.size("members") > 1)
+
+
+def _of(code: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of code (rep, codes) with these ids, cut, one each."""
+    ids = cut(ids)
+    return cut(code.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "rep", "left_semi").dropDuplicates(["rep"]))
+
+
+def _pair_links(pairs: DataFrame) -> DataFrame:
+    kind = dict(pairs.dtypes)["rep"]
+    return pairs.mapInArrow(_aligned, f"rep {kind}, head {kind}, offset long, begin long, overlap long, bit_error double, score double")
 
 
 def alignments(classes: DataFrame, code: DataFrame) -> DataFrame:
-    """Links (rep, head, offset, begin, overlap, bit_error, score) of classes (rep, n, keys) with lesser ones: rep's places from `begin` on lie at head's places `offset` further. code (rep, codes) may hold others too."""
-    kind = dict(classes.dtypes)["rep"]
-    pairs = cut(candidates(classes, code))
-    wanted = pairs.where("salt > 0").select(F.col("head").alias("rep"), "salt").distinct()
-    salted = code.withColumn("salt", F.lit(0)).unionByName(code.join(wanted, "rep").select("rep", "codes", "salt"))
-    both = pairs.join(code, "rep").withColumnRenamed("codes", "own").join(salted.withColumnRenamed("rep", "head"), ["head", "salt"])
-    return both.select("rep", "head", "own", "codes").mapInArrow(_aligned, f"rep {kind}, head {kind}, offset long, begin long, overlap long, bit_error double, score double")
+    """Links (rep, head, offset, begin, overlap, bit_error, score) of classes (rep, n, keys) with lesser ones, each once: rep's places from `begin` on lie at head's places `offset` further. code (rep, codes) may hold others too."""
+    pairs, cells = candidates(classes, code)
+    found = _pair_links(pairs)
+    return found if cells is None else found.unionByName(cells.mapInArrow(_cell_links(to_arrow_type(classes.schema["rep"].dataType)), found.schema))
+
+
+def best_alignments(classes: DataFrame, code: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the links of alignments(): (class_id, n: their number, x: s, to, offset, overlap, bit_error of the best) per class that has any, and edges (a, b) with the same components. No row per link of a large bucket is made."""
+    pairs, cells = candidates(classes, code)
+    links = cut(_pair_links(pairs))
+    kind = dict(links.dtypes)["rep"]
+    way = lambda end, other, sign: links.select(F.col(end).alias("class_id"), F.lit(1).cast("long").alias("n"), F.struct((-F.col("score")).alias("s"), F.col(other).alias("to"), (sign * F.col("offset")).alias("offset"), "overlap", "bit_error").alias("x"))
+    ways, edges = way("rep", "head", 1).unionByName(way("head", "rep", -1)), links.select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    if cells is not None:
+        sums = cut(cells.mapInArrow(_cell_sums(to_arrow_type(classes.schema["rep"].dataType)), f"class_id {kind}, n long, s double, to {kind}, offset long, overlap long, bit_error double, root {kind}"))
+        ways = ways.unionByName(sums.select("class_id", "n", F.struct("s", "to", "offset", "overlap", "bit_error").alias("x")))
+        edges = edges.unionByName(sums.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
+    return ways.groupBy("class_id").agg(F.min("x").alias("x"), F.sum("n").alias("n")), edges
 
 
 def align_recordings(media: DataFrame, id_col: str, data_col: str, form: Format = Format()) -> DataFrame:
-    """One row per row: id, n_frames, fingerprint (sha256 of the codes), class_id (least id with these codes), n_links (other classes that its class was found to align with), the best of these alignments: aligned_to, offset, overlap, bit_error (nulls without one), and group_id (least class_id reachable over alignments, so that members of a large star, which aren't all paired, share it).
+    """One row per row: id, n_frames, fingerprint (sha256 of the codes), class_id (least id with these codes), n_links (other classes that its class was found to align with), the best of these alignments: aligned_to, offset, overlap, bit_error (nulls without one), and group_id (least class_id reachable over alignments, whatever links them).
 
     The row's recording lies at `offset` in that of aligned_to. Rows that are null or have no sample have no frame, and null
     fingerprint and class. Rows with a null id are kept and take no part in classes and alignments, nor do those of an id that has
@@ -372,15 +544,12 @@ def align_recordings(media: DataFrame, id_col: str, data_col: str, form: Format
     several = whole.groupBy("_id").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first <> last")
     if several.limit(1).count():
         whole = whole.join(several, "_id", "left").where(F.col("first").isNull() | (F.col("first") == mark)).drop("first", "last")
-    one = F.any_value(F.struct(F.col("n_frames").alias("n"), "keys"))
-    classes = cut(whole.groupBy("fingerprint").agg(F.min("_id").alias("class_id"), one.alias("x"), F.count("*").alias("rows")).select("fingerprint", "class_id", "x.*", "rows"))
-    # A class's codes are those of a row with its id.
-    found = alignments(classes.select(F.col("class_id").alias("rep"), "n", "keys"), whole.select(F.col("_id").alias("rep"), "codes"))
-    links = cut(found.groupBy("rep", "head").agg(F.min(F.struct((-F.col("score")).alias("s"), "offset", "overlap", "bit_error", "score")).alias("x")).select("rep", "head", "x.*"))
-    ways = links.select(F.col("rep").alias("class_id"), F.struct((-F.col("score")).alias("s"), F.col("head").alias("to"), "offset", "overlap", "bit_error").alias("x"))
-    ways = ways.unionByName(links.select(F.col("head").alias("class_id"), F.struct((-F.col("score")).alias("s"), F.col("rep").alias("to"), (-F.col("offset")).alias("offset"), "overlap", "bit_error").alias("x")))
-    best = ways.groupBy("class_id").agg(F.min("x").alias("x"), F.count("*").alias("n"))
-    groups = components(links.select(F.col("rep").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("class_id"), "root")
+    least = F.min("_id").alias("class_id")
+    classes = cut(whole.groupBy("fingerprint").agg(least, F.count("*").alias("rows")))
+    # A class's codes are those of a row with its id; keys, which are heavy, are read once and not cut.
+    keyed = whole.groupBy("fingerprint").agg(least.alias("rep"), F.any_value(F.struct(F.col("n_frames").alias("n"), "keys")).alias("x")).select("rep", "x.*")
+    best, edges = best_alignments(keyed, whole.select(F.col("_id").alias("rep"), "codes"))
+    groups = components(edges).select(F.col("node").alias("class_id"), "root")
     named = classes.select("fingerprint", "class_id", "rows").join(best, "class_id", "left").join(groups, "class_id", "left")
     named = cut(named.select("fingerprint", "rows", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.col("x.to").alias("aligned_to"), "x.offset", "x.overlap", "x.bit_error", F.coalesce("root", "class_id").alias("group_id")))
     apart, code_of = F.col("_id").isNull(), F.col("fingerprint")

@@ -589,6 +589,37 @@ def test_a_common_head_hides_no_partner(spark, few, monkeypatch):
     assert links[300, 2]["overlap"] > 0.8 * len(audio.codes(songs[1].tobytes()))
 
 
+@pytest.mark.parametrize(("few", "block"), [(2, 4), (audio.FEW, 256)])
+def test_large_buckets_lose_no_pair(spark, few, block, monkeypatch):
+    """All members of a passage's bucket are compared, whatever its size and blocks; rows and links are those of small buckets."""
+    jingle = tones(900, 2)
+    rows = [(i, np.concatenate([jingle, tones(901 + i, 1)])[: -i * 90 or None]) for i in range(22)] + [(50, np.concatenate([tones(930, 1), tones(902, 1)])), (51, tones(960, 2))]
+    table = media(spark, rows)
+    found = audio.fingerprints(table, "id", "data").withColumnsRenamed({"_id": "rep", "n_frames": "n"}).localCheckpoint()
+    run = lambda f: {(r["rep"], r["head"]): r for r in _patched(monkeypatch, f).alignments(found.select("rep", "n", "keys"), found.select("rep", "codes")).collect()}
+    plain = audio.candidates
+    monkeypatch.setattr(audio, "BLOCK", block)
+
+    def _patched(patch, f):
+        patch.setattr(audio, "candidates", lambda table, code: plain(table, code, f))
+        return audio
+
+    want, got = run(1000), run(few)
+    assert want == got and len(want) >= 22 * 21 // 2
+    n_links = {r["id"]: (r["n_links"], r["group_id"]) for r in audio.align_recordings(table, "id", "data").collect()}
+    assert n_links == {i: (sum(i in pair for pair in want), 0 if any(i in pair for pair in want) else i) for i, _ in rows}
+
+
+def test_aligning_many_is_aligning_each(monkeypatch):
+    rng = np.random.default_rng(4)
+    songs = [audio.codes(np.clip(np.concatenate([tones(1, 1), tones(70 + i, 1)])[i * 40 :] + rng.normal(0, i % 3, 16000 - i * 40), 0, 255).astype(np.uint8).tobytes()) for i in range(12)]
+    songs += [rng.integers(0, 3, 90).astype(np.uint32), np.full(60, 7, np.uint32), songs[0][:12], np.zeros(0, np.uint32)]
+    for listed in (audio.LISTED, 300):
+        monkeypatch.setattr(audio, "LISTED", listed)
+        for a in songs:
+            assert audio.align_many(a, songs) == [audio.align(a, b) for b in songs]
+
+
 def test_language_of_unbroken_text(spark):
     assert language.tokens("x" * 70 + " ab") == ["x" * 32, "x" * 32, "x" * 6, "ab"]
     other = lambda i: " ".join(w[::-1] + "o" for w in prose(i).split())
