@@ -253,3 +253,22 @@ def test_older_retrieval_against_plain_loops(spark, monkeypatch):
     assert got.keys() == want
     for pair, r in got.items():
         assert {k for k in "ABCDER" if r[f"blk_{k}"]} == flags[pair] and r["cos_full_char"] == pytest.approx(cos(full, *pair))
+
+
+@pytest.mark.parametrize(("block", "dense"), [(8192, 0.1), (7, 0.3), (3, 2.0)])
+def test_nearest_equals_all_pairs(spark, block, dense, monkeypatch):
+    """The best by blocks are those of all pairs, ties by the other id among them, and no row per pair leaves an executor."""
+    for name, value in (("BLOCK", block), ("DENSE", dense), ("ROWS", 4), ("PRODUCTS", 10)):
+        monkeypatch.setattr(blocking, name, value)
+    words = lambda i: [f"w{(i * k) % 13}" for k in range(1, 5)] + (["all"] if i % 7 else []) + [f"own{i % 9}"]
+    records = spark.createDataFrame([(f"{'a' if i % 3 else 'b'}{i:02}", words(i % 20)) for i in range(50)] + [("a99", []), ("b99", ["alone"])], "rid string, terms array<string>")
+    vectors = blocking.tfidf_vectors(records, "rid", "terms").localCheckpoint()
+    direct = {(r["rid"], t): round(w, 9) for r in blocking.packed_tfidf(records, "rid", "terms").collect() for t, w in zip(r["terms"], r["ws"], strict=True)}
+    often = {r["term"] for r in vectors.groupBy("term").count().where("count > 1").collect()}
+    assert direct == {(r["rid"], r["h"]): round(r["w"], 9) for r in vectors.withColumn("h", F.xxhash64("term")).collect() if r["term"] in often}
+    left, right = vectors.where("rid < 'b'").withColumnRenamed("rid", "i1"), vectors.where("rid >= 'b'").withColumnRenamed("rid", "it")
+    every = blocking.cosine(left, right).localCheckpoint()
+    want = {("i1", r["i1"], r["it"]): round(r["cos"], 6) for r in blocking.top_k(every, "i1", "cos", "it", 3).collect()} | {("it", r["i1"], r["it"]): round(r["cos"], 6) for r in blocking.top_k(every, "it", "cos", "i1", 2).collect()}
+    found = blocking.nearest(blocking.packed(left, "i1").localCheckpoint(), blocking.packed(right, "it").repartition(3).localCheckpoint(), 3, 2)
+    assert {(r["by"], r["i1"], r["it"]): round(r["cos"], 6) for r in found.collect()} == want
+    assert found.count() == len(want) and blocking.nearest(blocking.packed(left.limit(0), "i1"), blocking.packed(right, "it"), 1, 1).count() == 0
