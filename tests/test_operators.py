@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave.functions import text
 from kinweave.operators import blocking, context, decisions, diagnostics, keys, metrics, models, sampling, statistics
 from kinweave.plans import base, catalogue, linkage_old, pair_queries
 from kinweave.sources import tables
@@ -272,3 +273,24 @@ def test_nearest_equals_all_pairs(spark, block, dense, monkeypatch):
     found = blocking.nearest(blocking.packed(left, "i1").localCheckpoint(), blocking.packed(right, "it").repartition(3).localCheckpoint(), 3, 2)
     assert {(r["by"], r["i1"], r["it"]): round(r["cos"], 6) for r in found.collect()} == want
     assert found.count() == len(want) and blocking.nearest(blocking.packed(left.limit(0), "i1"), blocking.packed(right, "it"), 1, 1).count() == 0
+
+
+def test_shared_keys_lose_no_pair_and_leave_lone_keys_out(spark):
+    from kinweave.operators import wordkeys
+
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in ("rue", "tal", "mont", "x") for b in ("ar", "ondissement", "9") for c in ("", "e", "ville")] + ["", "KK", "İz", "services"]
+    rows = [(i if i else None, rng.choice(["s1", "t"]), rng.choice(["en", ""]), rng.choice(["", "z1", "z2"]), str(i % 3 or ""), rng.choice([" ", ", ", "\n"]).join(rng.choice(words) for _ in range(rng.randrange(6))) + (f" lone{i}" if i % 4 else "")) for i in range(400)]
+    rows += [(1000 + i, rng.choice(["s1", "t"]), "en", "z1", "7", "same copy twice") for i in range(60)] + [(2000, "t", "en", "", "1", None)]
+    records = spark.createDataFrame(rows, "rid long, side string, country string, state string, num1 string, text string")
+    found = wordkeys.shared_keys(records, 12).cache()
+    base = records.withColumn("core2", text.alnum_tokens("text")).withColumn("alias", F.filter("core2", lambda w: F.length(w) >= 12)).withColumn("wset", F.array_sort(F.array_distinct("core2")))
+    for tokens, counted, out in (("core2", "core2", "rare"), ("alias", "core2", "rare_alias"), ("wset", "wset", "rare_addr")):
+        base = base.join(statistics.rarest(base, "rid", tokens, statistics.token_counts(base, counted).cache(), 2, out), "rid", "left")
+    known = base.where("rid is not null").withColumn("street", F.array().cast("array<string>"))
+    known = known.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("rare", "rare_alias", "rare_addr")})
+    every = keys.all_keys(known, list(wordkeys.KINDS)).withColumn("key", F.unhex("key")).cache()
+    pairs = lambda k: blocking.capped_hits(k, unique=True).select("kind", "i1", "it", F.hex("key").alias("key")).collect()
+    assert sorted(pairs(found)) == sorted(pairs(every)) != []
+    rows_of = lambda df: {tuple(r) for r in df.select("side", "kind", F.hex("key"), "rid").collect()}
+    assert rows_of(found) <= rows_of(every) and found.count() == len(rows_of(found)) < 0.6 * every.count()
