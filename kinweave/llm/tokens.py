@@ -25,6 +25,15 @@ PLAIN = re.compile("[!-~]+")
 OTHER = re.compile(r"[\x1c-\x1fİɐ-\U0010ffff]")
 
 
+def _other(text: str) -> bool:
+    """Whether OTHER finds a character; where the text fits Latin-1, as most do, without a look at each by the expression."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return OTHER.search(text) is not None
+    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+
+
 class Memory:
     """A bounded table in two generations: when the young one is full it becomes the old one, and what is met again moves back."""
 
@@ -59,7 +68,7 @@ class WordTokenizer:
         self.words, self.pieces = Memory(WORDS), Memory(PIECES)
 
     def encode(self, text: str) -> bytes:
-        if OTHER.search(text) or any(x in text for x in self.special):
+        if _other(text) or any(x in text for x in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.lower().split()
         try:

@@ -647,3 +647,12 @@ def test_private_keys_whole(spark):
     assert got[50] == "[SECRET]\n and the next\n[SECRET]" and got[51] == "the line [SECRET] opens a key"
     spans = {r["doc_id"]: [tuple(s) for s in r["spans"] if s["kind"] == "pem"] for r in secrets.find_secrets(frame).collect()}
     assert all(spans[i] == [("pem", 9, 9 + len(k))] for i, k in enumerate(keys))
+
+
+def test_other_characters_are_found_in_any_text():
+    from kinweave.llm import tokens
+
+    for c in range(0x400):
+        for around in ("", "é", "ā"):
+            assert tokens._other(f"a{around}{chr(c)}b") == (tokens.OTHER.search(f"a{around}{chr(c)}b") is not None), c
+    assert tokens._other("a \U0001f600") and not tokens._other("")
