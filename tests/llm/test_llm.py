@@ -650,8 +650,6 @@ def test_private_keys_whole(spark):
 
 
 def test_other_characters_are_found_in_any_text():
-    from kinweave.llm import tokens
-
     for c in range(0x400):
         for around in ("", "é", "ā"):
             assert tokens._other(f"a{around}{chr(c)}b") == (tokens.OTHER.search(f"a{around}{chr(c)}b") is not None), c
