@@ -96,3 +96,28 @@ def test_skeletons(spark):
 
 def test_vocabulary_order():
     assert vocab.NAME_WORDS_OLD["mfrs"] == "mfrs" and vocab.states()["ct"] == "cg" and vocab.states()["tamil nadu"] == "tn"
+
+
+def test_measures_of_many_pairs():
+    """All pairs at once equal one at a time; texts over a machine word and of many letters too."""
+    rng = random.Random(5)
+    letters = ("ab ", "abcdefgh ij", "aé中文字क\U0001f600 ", "".join(chr(0x4E00 + i) for i in range(3000)))
+    pairs = [tuple("".join(rng.choices(a, k=rng.choice((0, 1, 5, 40, 64, 65, 130)))) for _ in range(2)) for a in letters for _ in range(700)]
+    assert similarity.common_lengths(pairs) == [similarity.common_length(a, b) for a, b in pairs]
+    for kind, many in similarity.MANY.items():
+        assert many(pairs) == [similarity.MEASURES[kind](a, b) for a, b in pairs], kind
+
+
+def test_partial_leaves_out_no_better_stretch():
+    """Against all stretches."""
+
+    def plain(a, b):
+        stretches = lambda x, y: [y[max(0, i) : i + len(x)] for i in range(1 - len(x), len(y))]
+        x, y = sorted((a, b), key=len)
+        return max([similarity.indel(x, w) for w in stretches(x, y)] + ([similarity.indel(y, w) for w in stretches(y, x)] if len(x) == len(y) else []))
+
+    rng = random.Random(6)
+    for k in (3, 9, 20):
+        for _ in range(150):
+            a, b = ("".join(rng.choices("abcde f", k=rng.randint(1, k))) for _ in range(2))
+            assert similarity.partial(a, b) == plain(a, b), (a, b)
