@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, join_by_key, release
+from .common import cut, drop_shuffles, join_by_key, release
 from .graph import components
 
 #: Samples a second, of a frame and between frames of the default format; frames under a filter.
@@ -43,7 +43,7 @@ BROADCAST = 200_000
 LEVELS = (-0.5, -0.15, 0.3)
 #: Added to the mean of both areas, as a share of a frame's energy in one pitch class.
 FLOOR = 0.02
-GRAY = np.array([0, 1, 3, 2], np.uint32)
+RATIOS = tuple(float(np.exp(x)) for x in LEVELS)
 CLASSES = 12
 #: The upper bit of each filter.
 UPPER = np.uint32(0xAAAAAAAA)
@@ -107,49 +107,82 @@ def filters() -> list[tuple[int, int, int]]:
 FILTERS = filters()
 
 
-def chroma(samples: np.ndarray, form: Format = Format()) -> np.ndarray:
-    """Frames x pitch classes, each frame of unit sum (of zeros, if silent); short recordings are lengthened by silence to the span of one code."""
+def chroma(samples: np.ndarray, form: Format = Format(), begins: np.ndarray | None = None) -> np.ndarray:
+    """Frames x pitch classes, each frame of unit sum (of zeros, if silent); short recordings are lengthened by silence to the span of one code. With begins, of the frames that begin there."""
     least = form.frame + (SPAN - 1) * form.hop
     if len(samples) < least:
         samples = np.concatenate([samples, np.zeros(least - len(samples), np.float32)])
-    frames = np.lib.stride_tricks.sliding_window_view(samples, form.frame)[:: form.hop]
-    window, pitches, parts = np.hanning(form.frame).astype(np.float32), pitch_map(form), []
-    for i in range(0, len(frames), 1024):
-        spectrum = np.fft.rfft(frames[i : i + 1024] * window, axis=1)
-        parts.append((spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ pitches)
+    frames = np.lib.stride_tricks.sliding_window_view(samples, form.frame)
+    if begins is None:
+        begins = np.arange(0, len(frames), form.hop)
+    window, pitches, parts = np.hanning(form.frame).astype(np.float32), pitch_map(form).astype(np.float64), []
+    for i in range(0, len(begins), 1024):
+        spectrum = np.fft.rfft(frames[begins[i : i + 1024]] * window, axis=1)
+        # In doubles: what a product differs by at another row of the matrix is far below a code's steps.
+        parts.append((spectrum.real**2 + spectrum.imag**2).astype(np.float64) @ pitches)
     energy = np.concatenate(parts)
     return energy / (energy.sum(axis=1, keepdims=True) + 1e-6)
 
 
+#: Bytes of recordings whose frames are held at once.
+HELD = 1 << 18
+
+
 def codes(data: bytes, form: Format = Format()) -> np.ndarray:
     """Unsigned 32-bit code of each place where all SPAN frames of a filter lie within the recording; none without a sample."""
-    samples = form.samples(data)
-    if not len(samples):
-        return np.zeros(0, np.uint32)
-    image = chroma(samples, form)
-    sums = np.zeros((CLASSES + 1, len(image) + 1))
-    sums[1:, 1:] = image.T.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
-    n = len(image) - SPAN + 1
-    half, quarter = SPAN // 2, SPAN // 4
+    return codes_of([data], form)[0]
+
+
+def codes_of(recordings: list[bytes], form: Format = Format()) -> list[np.ndarray]:
+    """codes() of each recording, a few hundred short ones at once. A place's code depends on its samples alone, not on what lies beside or before it."""
+    out: list[np.ndarray] = []
+    turn: list[np.ndarray] = []
+    size = 0
+    for data in recordings:
+        turn.append(form.samples(data))
+        size += len(turn[-1])
+        if size >= HELD:
+            out += _codes_turn(turn, form)
+            turn, size = [], 0
+    return out + _codes_turn(turn, form) if turn else out
 
-    def area(t0: int, t1: int, y0: int, y1: int) -> np.ndarray:
-        return sums[y1, t1 : t1 + n] - sums[y0, t1 : t1 + n] - sums[y1, t0 : t0 + n] + sums[y0, t0 : t0 + n]
 
-    responses = np.empty((len(FILTERS), n))
+def _codes_turn(samples: list[np.ndarray], form: Format) -> list[np.ndarray]:
+    least = form.frame + (SPAN - 1) * form.hop
+    lengths = np.array([max(least, len(x)) if len(x) else 0 for x in samples])
+    line = np.zeros(int(lengths.sum()), np.float32)
+    begins = np.cumsum(lengths) - lengths
+    for x, at in zip(samples, begins.tolist(), strict=True):
+        line[at : at + len(x)] = x
+    frames = np.where(lengths > 0, (lengths - form.frame) // form.hop + 1, 0)
+    if not frames.sum():
+        return [np.zeros(0, np.uint32) for _ in samples]
+    first, owner, step = _ranges(frames)
+    image = chroma(line, form, begins[owner] + step * form.hop)
+    # Sums of 1, 2, 4 and 8 frames by halves, so that equal frames have equal sums wherever they lie; what reaches over a recording's end is left out at last.
+    half, quarter = SPAN // 2, SPAN // 4
+    sums = {1: np.concatenate([np.zeros((1, len(image))), image.T.astype(np.float64).cumsum(axis=0)])}
+    for n in (1, 2, 4):
+        sums[2 * n] = sums[n][:, :-n] + sums[n][:, n:]
+    n = len(image) - SPAN + 1
+    whole, early, late, middle = sums[SPAN], sums[half][:, :n], sums[half][:, half : half + n], sums[half][:, quarter : quarter + n]
+    out = np.zeros(n, np.uint32)
     for i, (kind, y, height) in enumerate(FILTERS):
-        middle, top = y + height // 2, y + height
-        whole = area(0, SPAN, y, top)
+        centre, top = y + height // 2, y + height
         if kind == 0:
-            a = area(0, SPAN, y, middle)
+            a = whole[centre] - whole[y]
         elif kind == 1:
-            a = area(0, half, y, top)
+            a = early[top] - early[y]
         elif kind == 2:
-            a = area(0, half, y, middle) + area(half, SPAN, middle, top)
+            a = early[centre] - early[y] + (late[top] - late[centre])
         else:
-            a = area(quarter, quarter + half, y, top)
-        responses[i] = np.log((a + FLOOR * height) / (np.maximum(whole - a, 0) + FLOOR * height))
-    levels = GRAY[np.searchsorted(LEVELS, responses, side="right")]
-    return np.bitwise_or.reduce(levels << (2 * np.arange(len(FILTERS), dtype=np.uint32))[:, None], axis=0)
+            a = middle[top] - middle[y]
+        b = np.maximum(whole[top] - whole[y] - a, 0) + FLOOR * height
+        a += FLOOR * height
+        one, two, three = (a >= ratio * b for ratio in RATIOS)
+        # Gray codes 0, 1, 3, 2 of the levels: the upper bit from the second on, the lower between the first and the third.
+        out |= (two.view(np.uint8) * np.uint8(2) + (one & ~three)).astype(np.uint32) << np.uint32(2 * i)
+    return [out[at : at + k - SPAN + 1] if k else np.zeros(0, np.uint32) for at, k in zip(first.tolist(), frames.tolist(), strict=True)]
 
 
 def hashed(code: np.ndarray) -> np.ndarray:
@@ -178,10 +211,38 @@ def keys(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def all_keys(data: bytes, code: np.ndarray, form: Format) -> np.ndarray:
     """Signed first keys of a recording whose codes these are, those of the recording half a hop later included."""
-    found = [keys(code)[1]] if len(code) else []
-    if len(code) > (PLACES - 1) * GAP:
-        found.append(keys(codes(data[form.hop // 2 * form.width * form.channels :], form))[1])
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64)
+    return keys_of([data], [code], form)[0]
+
+
+def keys_of(recordings: list[bytes], code: list[np.ndarray], form: Format) -> list[np.ndarray]:
+    """all_keys() of each recording."""
+    reach, skip = (PLACES - 1) * GAP, form.hop // 2 * form.width * form.channels
+    long = [i for i, c in enumerate(code) if len(c) > reach]
+    later = codes_of([memoryview(recordings[i])[skip:] for i in long], form)
+    out = [np.zeros(0, np.uint64)] * len(code)
+    for i in set(range(len(code))).difference(long):
+        if len(code[i]):
+            out[i] = keys(code[i])[1]
+    if long:
+        # One line of all codes: a hash whose places reach over the end of its own is left out.
+        parts, owner = [code[i] for i in long] + later, np.array(long + long)
+        lengths = np.array([len(c) for c in parts])
+        _, part, step = _ranges(lengths)
+        found = hashed(np.concatenate(parts))
+        use = np.flatnonzero((found % KEPT == 0) & (step < lengths[part] - reach))
+        whose, found = owner[part[use]], found[use]
+        order = np.lexsort((found, whose))
+        whose, found = whose[order], found[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (whose[1:] != whose[:-1])
+        whose, found = whose[new], found[new]
+        ends = np.searchsorted(whose, np.arange(len(code) + 1))
+        for i in long:
+            out[i] = found[ends[i] : ends[i + 1]]
+        for i, c in zip(long, later, strict=True):
+            if 0 < len(c) <= reach:  # half a hop less can be a place less
+                out[i] = np.unique(np.concatenate([out[i], keys(c)[1]]))
+    return [x.view(np.int64) for x in out]
 
 
 def offsets_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -353,8 +414,8 @@ def _print(form: Format):
         release("")
         for batch in batches:
             data = [batch.column(1)[i].as_py() or b"" for i in range(batch.num_rows)]
-            found = [codes(d, form) for d in data]
-            made = pa.array([all_keys(d, c, form) for d, c in zip(data, found, strict=True)], pa.list_(pa.int64()))
+            found = codes_of(data, form)
+            made = pa.array(keys_of(data, found, form), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in found], pa.int64()), pa.array([c.astype("<u4").tobytes() if len(c) else None for c in found], pa.binary()), made], names=["_id", "n_frames", "codes", "keys"])
         release("")
 
@@ -472,6 +533,7 @@ def candidates(classes: DataFrame, code: DataFrame, few: int = FEW) -> tuple[Dat
     """
     own = classes.where(F.col("n") >= REACH).select("rep", (F.col("n") < SHORT).alias("short"), F.explode("keys").alias("key"))
     members = cut(own.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"))
+    drop_shuffles(code.sparkSession)  # those of all keys are the heaviest, and nothing reads them any more
     lists = members.where(f"size <= {few}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "short"))).alias("all"))
     each = lists.select("all", F.posexplode("all").alias("place", "x")).where("place > 0").select("x", F.explode(F.slice("all", F.lit(1), F.col("place"))).alias("y"))
     votes = each.groupBy(F.col("x.rep").alias("rep"), F.col("y.rep").alias("head")).agg(F.count("*").alias("votes"), F.max(F.col("x.short") | F.col("y.short")).alias("short"))

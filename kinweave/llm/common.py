@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -38,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has Spark remove the files of shuffles that no plan refers to, as those before a cut(): it does so when the driver's JVM collects garbage, which with a heap to spare comes late or never."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame, key: str, row_bytes: int, task_bytes: int = 16 << 20) -> DataFrame:
     """df, which is cut, in so many partitions that what a task makes of its rows, row_bytes of each, is about task_bytes at most."""
     parts = -(-df.count() * row_bytes // task_bytes)
@@ -159,7 +166,6 @@ _KEPT: dict = {}
 def release(keep: str) -> None:
     """Gives memory of a Python worker back to the system, so that operators that follow one another don't add up: what is kept under other names than such that begin with `keep`, and freed blocks."""
     import ctypes
-    import gc
 
     for name in [n for n in _KEPT if n != "shared folder" and (not keep or not n.startswith(keep))]:
         del _KEPT[name]

@@ -654,3 +654,24 @@ def test_other_characters_are_found_in_any_text():
         for around in ("", "é", "ā"):
             assert tokens._other(f"a{around}{chr(c)}b") == (tokens.OTHER.search(f"a{around}{chr(c)}b") is not None), c
     assert tokens._other("a \U0001f600") and not tokens._other("")
+
+
+def test_codes_of_many_recordings_at_once(monkeypatch):
+    """Codes and keys of a recording are the same alone and among others, and go in few calls of the transform, not some for each."""
+    rng = np.random.default_rng(8)
+    sizes = [0, 1, 255, 479, 480, 511, 512, 513, 527, 528, 783, 784, 800, 5000, 0, 3]
+    rows = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in sizes] + [bytes(2000), b"a" * 999, b"", tones(3, 1).tobytes()[:3000]]
+    alone = [audio.codes(x, audio.TEXT) for x in rows]
+    lonely = [audio.all_keys(x, c, audio.TEXT).tolist() for x, c in zip(rows, alone, strict=True)]
+    for held in (audio.HELD, 1000):
+        monkeypatch.setattr(audio, "HELD", held)
+        calls, plain = [], audio.chroma
+        with monkeypatch.context() as patch:
+            patch.setattr(audio, "chroma", lambda *a: calls.append(1) or plain(*a))
+            many = audio.codes_of(rows, audio.TEXT)
+        assert len(calls) == 1 or held == 1000
+        assert [c.tolist() for c in many] == [c.tolist() for c in alone]
+        assert [k.tolist() for k in audio.keys_of(rows, many, audio.TEXT)] == lonely
+    for x, c, k in zip(rows, alone, lonely, strict=True):
+        later = audio.codes(x[audio.TEXT.hop // 2 :], audio.TEXT) if len(c) > (audio.PLACES - 1) * audio.GAP else c[:0]
+        assert k == sorted(np.unique(np.concatenate([audio.keys(y)[1] for y in (c, later) if len(y)] or [np.zeros(0, np.uint64)])).view(np.int64).tolist(), key=lambda v: v % 2**64)
