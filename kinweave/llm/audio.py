@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.staging import stored
 from .common import cut, drop_shuffles, join_by_key, release
 from .graph import components
 
@@ -550,6 +551,7 @@ def candidates(classes: DataFrame, code: DataFrame, few: int = FEW) -> tuple[Dat
     pairs = cut(votes.where("votes > 1 or short").select("rep", "head"))
     wanted = pairs.select("rep").unionByName(pairs.select(F.col("head").alias("rep"))).unionByName(crowded.select("rep")).distinct()
     wanted = _of(code, wanted)
+    drop_shuffles(code.sparkSession)
     known = wanted.join(crowded.select("rep", "large"), "rep", "left")
     both = pairs.join(known.select("rep", F.col("codes").alias("own"), F.col("large").alias("own_large")), "rep").join(known.select(F.col("rep").alias("head"), "codes", "large"), "head")
     dealt = crowded.select("rep", "short", "small", "large", F.explode("cells").alias("x")).select("rep", "short", "small", "large", "x.*")
@@ -583,6 +585,7 @@ def best_alignments(classes: DataFrame, code: DataFrame) -> tuple[DataFrame, Dat
     """Of the links of alignments(): (class_id, n: their number, x: s, to, offset, overlap, bit_error of the best) per class that has any, and edges (a, b) with the same components. No row per link of a large bucket is made."""
     pairs, cells = candidates(classes, code)
     links = cut(_pair_links(pairs))
+    drop_shuffles(code.sparkSession)
     kind = dict(links.dtypes)["rep"]
     way = lambda end, other, sign: links.select(F.col(end).alias("class_id"), F.lit(1).cast("long").alias("n"), F.struct((-F.col("score")).alias("s"), F.col(other).alias("to"), (sign * F.col("offset")).alias("offset"), "overlap", "bit_error").alias("x"))
     ways, edges = way("rep", "head", 1).unionByName(way("head", "rep", -1)), links.select(F.col("rep").alias("a"), F.col("head").alias("b"))
@@ -600,7 +603,7 @@ def align_recordings(media: DataFrame, id_col: str, data_col: str, form: Format
     fingerprint and class. Rows with a null id are kept and take no part in classes and alignments, nor do those of an id that has
     several recordings, but for one of them, by a hash. Repeated rows stay. An empty table gives an empty result. Ties of the score go to the least id. Other columns aren't read.
     """
-    prints = cut(fingerprints(media, id_col, data_col, form).withColumn("fingerprint", F.unhex(F.sha2("codes", 256))))
+    prints = stored(fingerprints(media, id_col, data_col, form).withColumn("fingerprint", F.unhex(F.sha2("codes", 256))))
     whole = prints.where("_id is not null and codes is not null")
     mark = F.xxhash64("fingerprint")
     several = whole.groupBy("_id").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first <> last")
