@@ -275,6 +275,17 @@ def test_nearest_equals_all_pairs(spark, block, dense, monkeypatch):
     assert found.count() == len(want) and blocking.nearest(blocking.packed(left.limit(0), "i1"), blocking.packed(right, "it"), 1, 1).count() == 0
 
 
+def test_listed_cosines_equal_loops(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "BLOCK", 3)
+    monkeypatch.setattr(blocking, "TOGETHER", 4)
+    schema = "terms array<long>, ws array<double>"
+    left = spark.createDataFrame([("a", [1, 2], [0.6, 0.8]), ("b", [], []), ("c", [5], [1.0])], f"i1 string, {schema}")
+    right = spark.createDataFrame([(i, [i % 3, 5], [0.8, 0.6]) for i in range(8)], f"it int, {schema}")
+    pairs = spark.createDataFrame([("a", i) for i in range(8)] + [("b", 1), ("c", 2)], "i1 string, it int")
+    got = {(r["i1"], r["it"]): round(r["cos"], 9) for r in blocking.pair_cosines(pairs, {"cos": (left, right)}).collect()}
+    assert got == {**{("a", i): round(0.8 * (0, 0.6, 0.8)[i % 3], 9) for i in range(8)}, ("b", 1): 0.0, ("c", 2): 0.6}
+
+
 def test_shared_keys_lose_no_pair_and_leave_lone_keys_out(spark):
     from kinweave.operators import wordkeys
 
